@@ -1,7 +1,7 @@
 """Exact dedup (operator 5), native.
 
-Content sort: Spark samples splitters over the normalised bytes, deals the rows out by range and sorts each range
-externally, which places equals next to each other; the window then compares each text in full with its neighbour and
+Content sort: Spark samples splitters over the normalised bytes (their head, then a hash of all), deals the rows out by
+range and sorts each range externally, which places equals next to each other; the window then compares each text in full with its neighbour and
 hands the head of the run (its smallest identifier) down the run. A salt behind the text in the sort key lets a splitter
 fall inside a hot text, so that no group has to fit one task; runs of the same text are joined again by their SHA-256,
 one row a run.
@@ -26,10 +26,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. The first column has the name id_col."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    ranged = rows.repartitionByRange(max(partitions(spark), 1), "norm", "salt")
-    # the window needs (norm, salt) together, which the ranges give: it adds the sort and no exchange
-    run = Window.partitionBy("norm", "salt").orderBy(F.col("id").asc_nulls_last())
+    # the sampled splitters go through the driver: a short head and a hash of the text order as well as all of it
+    rows = rows.select("*", F.substring("norm", 1, 32).alias("start"), F.xxhash64("norm").alias("hash"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    ranged = rows.repartitionByRange(max(partitions(spark), 1), "start", "hash", "salt")
+    # the window needs equal rows together, which the ranges give: it adds the sort and no exchange
+    run = Window.partitionBy("start", "hash", "salt", "norm").orderBy(F.col("id").asc_nulls_last())
     marked = ranged.select(
         "id",
         F.first("id").over(run).alias("head"),
