@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, bpe, exact_dedup, url_filters
+from . import best_fit_packing, bpe, chat_format, exact_dedup, lang_cnn, ngram_join, substring_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op2_chat_format": chat_format.op2_chat_format,
     "op3_bpe": bpe.op3_bpe,
+    "op4_lang_cnn": lang_cnn.op4_lang_cnn,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_best_fit_packing": best_fit_packing.op7_best_fit_packing,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 
 ORACLES = {

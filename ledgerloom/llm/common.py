@@ -89,11 +89,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            # each node also keeps its own link to its smallest neighbour
-            low.where("m < u").select("u", F.col("m").alias("v"))
-        )
-        large = stash(large.where("u <> v").distinct(), "large")
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stash(large.distinct(), "large")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             down.select("u", F.col("m").alias("v"))
