@@ -2,9 +2,10 @@
 
 Distinct-word table: documents are split at ASCII white space, at which this vocabulary always ends a word, so a word is
 encoded alike wherever it stands. A block is a run of documents of one scan task, bounded by bytes; its documents become
-arrays of positions in the block's word list. The word lists are dealt out by word and sorted, each distinct word is
-encoded once, and the ids go back to the blocks, where the positions pick them. Only words and positions are shuffled,
-and a word comes at most once from a block, so a frequent word is no hot key.
+arrays of positions in the block's word list. The word lists are cut by a hash of the word into buckets, which are sorted
+and packed, so that equal words of all blocks meet in one task, each distinct word is encoded once there, and the ids go
+back to the blocks, where the positions pick them. Only packed words, ids and positions are shuffled, and a word comes at
+most once from a block, so a frequent word is no hot key.
 
 Decoding is a join of ids with the vocabulary's id-to-piece table, whose size the vocabulary bounds: `decode_ids` does it
 by rows, and the blocks use the same table. Without a decoder in the tokenizer file, pieces are joined by a space.
@@ -18,6 +19,7 @@ results; null identifiers stay; extra columns are not read; one very long text i
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import partitions, table
 
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 16_000_000
+#: Words that a worker remembers, and documents whose positions are packed together.
+MOST_WORDS, PACKED = 1_000_000, 200
 
 
 @lru_cache(2)
@@ -70,10 +74,28 @@ class Block:
         self.docs.append((key, np.fromiter(map(known.__getitem__, words), np.uint32, len(words))))
         self.bytes += len(raw)
 
+    def dealt(self, buckets: int) -> tuple[np.ndarray, list[tuple[int, list[bytes]]]]:
+        """Places of the words when sorted by (bucket, word), and the words of each bucket."""
+        words = list(self.words)
+        bucket = [xxhash.xxh3_64_intdigest(w) % buckets for w in words]
+        order = sorted(range(len(words)), key=list(zip(bucket, words, strict=True)).__getitem__)
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.arange(len(words), dtype=np.uint32)
+        return place, [(b, [words[k] for k in same]) for b, same in itertools.groupby(order, key=bucket.__getitem__)]
+
     def check(self) -> int:
         return xxhash.xxh3_64_intdigest(b" ".join(self.words)) >> 1
 
 
+def squeezed(numbers: np.ndarray, pack) -> bytes:
+    """32-bit numbers, byte by byte in planes, of which the high ones are nearly empty."""
+    return pack(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[Block]:
     block = Block(0)
     for batch in batches:
@@ -92,53 +114,68 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 
 def assembled(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, block_bytes: int, finish, schema: str) -> DataFrame:
-    """finish(keys, positions of each document, ids of each word, their numbers, pieces) gives the rows of a block's documents."""
+    """finish(keys, places of each document's words, ids of all words in order of place, how many each has, tokenizer) gives
+    the rows of a block's documents."""
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    buckets = 4 * n
+
     def split_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for block in blocks(batches, block_bytes):
-            words = list(block.words)
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pd.DataFrame({"block": block.id, "place": np.arange(at, at + len(part), dtype=np.int32), "word": part})
+            own = block.dealt(buckets)[1]
+            yield pd.DataFrame({"block": block.id, "bucket": [b for b, _ in own], "packed": [pack(b" ".join(w)) for _, w in own]})
 
     def encode_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, last, value = tokenizer_of(tokenizer), None, b""
-        for batch in batches:  # sorted: equal words follow each other, and each distinct one is encoded once
-            words = batch["word"].tolist()
-            distinct = [w for k, w in enumerate(words) if w != (words[k - 1] if k else last)]
-            got = iter(own.encode_batch_fast([w.decode() for w in distinct], add_special_tokens=False))
-            ids = []
-            for word in words:
-                if word != last:
-                    last, value = word, np.array(next(got).ids, "<u2" if own.get_vocab_size() < 65536 else "<u4").tobytes()
-                ids.append(value)
-            yield pd.DataFrame({"block": batch["block"], "place": batch["place"], "ids": ids})
+        own, kind, known = tokenizer_of(tokenizer), width(tokenizer), {}
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.iloc[at : at + 64]
+                lists = [unpack(x).split(b" ") for x in part["packed"]]
+                if len(known) > MOST_WORDS:
+                    known.clear()
+                new = [w for w in set().union(*lists) if w not in known]
+                for word, got in zip(new, own.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+                    known[word] = np.array(got.ids, kind).tobytes()
+                out = []
+                for words in lists:
+                    ids = [known[w] for w in words]
+                    sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // np.dtype(kind).itemsize
+                    out.append((squeezed(sizes, pack), pack(b"".join(ids))))
+                yield pd.DataFrame({"block": part["block"].to_numpy(), "bucket": part["bucket"].to_numpy(), "sizes": [x for x, _ in out], "ids": [y for _, y in out]})
 
     def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for block in blocks(batches, block_bytes):
-            yield pd.DataFrame({"block": [block.id], "id": [None], "check": [block.check()], "size": [len(block.words)], "packed": [b""]}).astype({"id": "Int64"})
-            for at in range(0, len(block.docs), 2000):
-                part = block.docs[at : at + 2000]
-                yield pd.DataFrame({"block": block.id, "id": pd.array([k for k, _ in part], "Int64"), "check": None, "size": None, "packed": [pack(x.astype("<u4").tobytes()) if len(x) else b"" for _, x in part]}).astype({"check": "Int64", "size": "Int64"})
-
-    # a word whose rows meet in one task has at most one row a block
-    words = rows.mapInPandas(split_words, "block long, place int, word binary")
-    table_ = words.repartition(n, "word").sortWithinPartitions("word").mapInPandas(encode_words, "block long, place int, ids binary")
-    docs_ = rows.mapInPandas(positions, "block long, id long, check long, size long, packed binary")
+            place, own = block.dealt(buckets)
+            # the first row: how many buckets there are, and the places of the words in the order of their numbers
+            yield pd.DataFrame({"block": [block.id], "buckets": [len(own)], "ids": [[]], "lengths": [pack(b"")], "packed": [squeezed(place, pack)]})
+            for at in range(0, len(block.docs), PACKED):
+                part = block.docs[at : at + PACKED]
+                lengths = np.array([len(x) for _, x in part])
+                yield pd.DataFrame({"block": [block.id], "buckets": [-1], "ids": [[None if k is pd.NA else int(k) for k, _ in part]], "lengths": [squeezed(lengths, pack)], "packed": [squeezed(np.concatenate([x for _, x in part]), pack)]})
+
+    table_ = rows.mapInPandas(split_words, "block long, bucket int, packed binary").repartition(n, "bucket")
+    table_ = table_.mapInPandas(encode_words, "block long, bucket int, sizes binary, ids binary")
+    docs_ = rows.mapInPandas(positions, "block long, buckets int, ids array<long>, lengths binary, packed binary")
 
     def join_back(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        head = left[left["check"].notna()]
-        if len(head) != 1 or int(head["size"].iloc[0]) != len(right):
+        unpack = zstandard.ZstdDecompressor().decompress
+        head = left[left["buckets"] >= 0]
+        place = unsqueezed(unpack(head["packed"].iloc[0])) if len(head) == 1 else np.empty(0, np.uint32)
+        right = right.sort_values("bucket")
+        sizes = np.concatenate([np.empty(0, np.uint32), *(unsqueezed(unpack(x)) for x in right["sizes"])]).astype(np.int64)
+        if len(head) != 1 or head["buckets"].iloc[0] != len(right) or len(place) != len(sizes):
             raise ValueError("the two scans cut different blocks: write docs to storage first")
-        right = right.sort_values("place")
-        left = left[left["check"].isna()]
-        ids, unpack = right["ids"].tolist(), zstandard.ZstdDecompressor().decompress
-        found = [np.frombuffer(unpack(x), "<u4") if x else np.empty(0, np.uint32) for x in left["packed"]]
-        return finish(left["id"].astype("Int64"), found, ids, tokenizer)
+        flat = np.frombuffer(b"".join([unpack(x) for x in right["ids"]]), width(tokenizer))
+        keys, found = [], []
+        for ids, lengths, packed in left.loc[left["buckets"] < 0, ["ids", "lengths", "packed"]].itertuples(index=False, name=None):
+            keys += [None if x is None or x != x else int(x) for x in ids]
+            found += np.split(place[unsqueezed(unpack(packed))], np.cumsum(unsqueezed(unpack(lengths)))[:-1])
+        return finish(pd.array(keys, "Int64"), found, flat, sizes, tokenizer)
 
     return docs_.groupBy("block").cogroup(table_.groupBy("block")).applyInPandas(join_back, schema)
 
@@ -147,24 +184,21 @@ def width(tokenizer: str) -> str:
     return "<u2" if tokenizer_of(tokenizer).get_vocab_size() < 65536 else "<u4"
 
 
-def whole_ids(keys: pd.Series, found: list[np.ndarray], ids: list[bytes], tokenizer: str) -> pd.DataFrame:
-    kind = width(tokenizer)
-    return pd.DataFrame({"id": keys.to_numpy(), "ids": [np.frombuffer(b"".join([ids[k] for k in x.tolist()]), kind).astype(np.int32) for x in found]})
+def whole_ids(keys: pd.Series, found: list[np.ndarray], flat: np.ndarray, sizes: np.ndarray, tokenizer: str) -> pd.DataFrame:
+    ids = [x.tobytes() for x in np.split(flat, np.cumsum(sizes)[:-1])] if len(sizes) else []
+    return pd.DataFrame({"id": keys, "ids": [np.frombuffer(b"".join([ids[k] for k in x.tolist()]), flat.dtype).astype(np.int32) for x in found]})
 
 
-def digests(keys: pd.Series, found: list[np.ndarray], ids: list[bytes], tokenizer: str) -> pd.DataFrame:
+def digests(keys: pd.Series, found: list[np.ndarray], flat: np.ndarray, sizes: np.ndarray, tokenizer: str) -> pd.DataFrame:
     """n_tokens, the digest of the ids, the digest of the text decoded from them."""
-    kind, pieces = width(tokenizer), pieces_of(tokenizer)
-    flat = np.frombuffer(b"".join(ids), kind)
-    sizes = np.array([len(x) for x in ids], np.int64) // np.dtype(kind).itemsize
-    ends = np.cumsum(sizes)
-    names = flat.astype(str).tolist() if len(flat) else []
-    parts = pieces[flat].tolist()
-    ids_text, decoded = np.empty(len(ids), object), np.empty(len(ids), object)
+    pieces, ends = pieces_of(tokenizer), np.cumsum(sizes)
+    numbers = np.array([str(k) for k in range(len(pieces))], object)
+    names, parts = numbers[flat].tolist(), pieces[flat].tolist()
+    ids_text, decoded = np.empty(len(sizes), object), np.empty(len(sizes), object)
     for k, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
         ids_text[k], decoded[k] = " ".join(names[a:b]), " ".join(parts[a:b])
     sha = lambda table, x: hashlib.sha256(" ".join([t for t in table[x].tolist() if t]).encode()).hexdigest()
-    return pd.DataFrame({"id": keys.to_numpy(), "n_tokens": [int(sizes[x].sum()) for x in found], "ids_sha256": [sha(ids_text, x) for x in found], "decoded_sha256": [sha(decoded, x) for x in found]})
+    return pd.DataFrame({"id": keys, "n_tokens": [int(sizes[x].sum()) for x in found], "ids_sha256": [sha(ids_text, x) for x in found], "decoded_sha256": [sha(decoded, x) for x in found]})
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -172,7 +206,9 @@ def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_c
     spark = encoded.sparkSession
     pieces = pieces_of(tokenizer)
     vocabulary = spark.createDataFrame(pd.DataFrame({"token": np.arange(len(pieces), dtype=np.int32), "piece": pieces}))
-    rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("key"), F.posexplode_outer(ids_col).alias("at", "token"))
+    # numbered before rows are spread, so that rows with one identifier stay apart
+    rows = encoded.select(F.col(id_col).alias("key"), F.col(ids_col).alias("ids")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("row", "key", F.posexplode_outer("ids").alias("at", "token"))
     joined = rows.join(F.broadcast(vocabulary), "token", "left").groupBy("row", "key")
     parts = joined.agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece")))).alias("parts"))
     return parts.select(F.col("key").alias(id_col), F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("decoded"))
