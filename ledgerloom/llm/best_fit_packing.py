@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import stash, table
 
 CAPACITY, END = 1024, 2
@@ -138,6 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"id": "Int64"})
 
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, PIECES)
 
 

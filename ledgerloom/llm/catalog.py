@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, bpe, chat_format, exact_dedup, fingerprints, lang_cnn, ngram_join, substring_dedup, url_filters
+from . import best_fit_packing, bpe, chat_format, exact_dedup, fingerprints, lang_cnn, license_scan, ngram_join, substring_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_best_fit_packing": best_fit_packing.op7_best_fit_packing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 

@@ -23,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local session without one (a test) gets a temporary folder."""
+    ship(spark)
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
     if path is None:
@@ -42,6 +43,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def partitions(spark: SparkSession) -> int:
+    ship(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 

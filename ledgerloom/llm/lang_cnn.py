@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import table
 
 WINDOW, EMBED, WIDTHS, FILTERS = 192, 6, (2, 3, 4), 10
@@ -147,12 +148,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model
 
 
-def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", batch: int = 256) -> DataFrame:
-    """id_col, held_out, lang_pred, score."""
-    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    if model is None:
-        return rows.select(F.col("id").alias(id_col), "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-
+def judging(model: ByteCNN, batch: int = 256):
     @F.pandas_udf("lang string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -184,7 +180,20 @@ def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text
             score = np.clip(total[np.arange(len(total)), best], 0, 1)
             yield pd.DataFrame({"lang": lang, "score": np.where(known, score, 0.0)})
 
-    out = rows.withColumn("out", judge("text"))
+    return judge
+
+
+def judge_beside(docs: DataFrame, model: ByteCNN | None, text_col: str = "text", name: str = "judged") -> DataFrame:
+    """docs with a column `name` of (lang, score); without a model all are `und`."""
+    ship(docs.sparkSession)
+    none = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
+    return docs.withColumn(name, none if model is None else judging(model)(text_col))
+
+
+def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, held_out, lang_pred, score."""
+    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    out = judge_beside(rows, model, name="out")
     return out.select(F.col("id").alias(id_col), "held_out", F.col("out.lang").alias("lang_pred"), F.col("out.score").alias("score"))
 
 

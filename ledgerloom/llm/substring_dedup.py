@@ -141,6 +141,11 @@ def matched(parts: list[np.ndarray], weights: np.ndarray, window: int) -> list[i
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """id_col, n_words, n_removed, kept (the words that stay, joined by one space)."""
+    return repeats(docs, id_col, text_col, window, gram).select(F.col("id").alias(id_col), "out.*")
+
+
+def repeats(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, extra: tuple = ()) -> DataFrame:
+    """(id, text, extra, out): extra holds the named columns of docs, out is (n_words, n_removed, kept)."""
     spark = docs.sparkSession
     # a text's own hash tells rows with one identifier apart; rows with both alike have the same windows
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -247,29 +252,53 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = parts.join(found, ["anchor", "content"]).groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "mask")).alias("x"))
     hits = hits.select("doc", "mark", F.col("x.start").alias("starts"), F.col("x.mask").alias("masks"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, text, starts, masks in zip(batch["id"].astype("Int64"), batch["text"], batch["starts"], batch["masks"], strict=True):
-                words = text.encode().split()
-                kept, gone = words, 0
-                if starts is not None:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for start, mask in zip(starts.tolist(), masks.tolist(), strict=True):
-                        while mask:  # a run of windows at a time
-                            low = (mask & -mask).bit_length() - 1
-                            run = ((mask >> low) + 1 & -((mask >> low) + 1)).bit_length() - 1
-                            edge[start + low] += 1
-                            edge[start + low + run - 1 + window] -= 1
-                            mask &= ~(((1 << run) - 1) << low)
-                    covered = np.cumsum(edge[:-1]) > 0
-                    gone = int(covered.sum())
-                    kept = [words[k] for k in np.flatnonzero(~covered).tolist()]
-                out.append((key, len(words), gone, b" ".join(kept).decode()))
-            yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"]).astype({"id": "Int64"})
-
-    out = rows.join(hits, ["doc", "mark"], "left").select("id", "text", "starts", "masks")
-    return out.mapInPandas(cut, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+    @F.pandas_udf("n_words long, n_removed long, kept string")
+    def cut(texts: pd.Series, starts: pd.Series, masks: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, start_, mask_ in zip(texts, starts, masks, strict=True):
+            words = text.encode().split()
+            kept, gone = words, 0
+            if start_ is not None:
+                edge = np.zeros(len(words) + 1, np.int64)
+                for start, mask in zip(start_.tolist(), mask_.tolist(), strict=True):
+                    while mask:  # a run of windows at a time
+                        low = (mask & -mask).bit_length() - 1
+                        rest = (mask >> low) + 1
+                        run = (rest & -rest).bit_length() - 1
+                        edge[start + low] += 1
+                        edge[start + low + run - 1 + window] -= 1
+                        mask &= ~(((1 << run) - 1) << low)
+                covered = np.cumsum(edge[:-1]) > 0
+                gone = int(covered.sum())
+                kept = [words[k] for k in np.flatnonzero(~covered).tolist()]
+            out.append((len(words), gone, b" ".join(kept).decode()))
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
+
+    whole_rows = rows.select("id", "doc", "mark", "text") if not extra else docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.struct(F.col(text_col).isNull().alias("__null"), *extra).alias("extra"),
+    )
+    out = whole_rows.join(hits, ["doc", "mark"], "left")
+    return out.select("id", "text", *(["extra"] if extra else []), cut("text", "starts", "masks").alias("out"))
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with repeated passages removed from their texts; every row and column stays.
+
+    A text without repeats is not touched, and one that is all repeats becomes empty; n_chars, where there is such a
+    column, follows the text.
+    """
+    extra = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    out = repeats(docs, id_col, text_col, window, extra=extra)
+    gone = F.col("out.n_removed") > 0
+    text = F.when(gone, F.col("out.kept")).otherwise(F.when(~F.col("extra.__null"), F.col("text")))
+    own = {id_col: F.col("id"), text_col: text} | {c: F.col("extra")[c] for c in extra}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(gone, F.length("out.kept").cast("long")).otherwise(own["n_chars"])
+    return out.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
