@@ -6,11 +6,11 @@ vertical fragments. Documents with equal sets collapse into one class first, so
 1. Candidates, without loss. Two sets with Jaccard t or more share one of their first n - ceil(t n) + 1 shingles in any
    common order. The order used here puts the low fragments first (rarest shingle first, by counts over all classes),
    then the others by hash; a class emits its low fragments and, where these are too few, as many more as its prefix
-   needs. Only shingles of its prefix that two classes hold give candidates, linked as a star around the smallest, so a
-   shingle of n classes gives n - 1 rows, not n squared.
-2. Verification. Classes that the stars connect are dealt to pairs of bounded blocks. In a task the overlap of two blocks
-   is counted fragment by fragment as small matrix products and summed per pair; what leaves the task is a spanning
-   forest of the links found, never the pairs. Pairs that the forest already connects need no row.
+   needs. Only shingles of its prefix that two classes hold give candidates: the pairs of fitting size where they are few,
+   and otherwise a star around the smallest, so a shingle of n classes gives n - 1 rows, not n squared.
+2. Verification. Pairs are compared where their owner is. Classes that the stars connect are dealt to pairs of bounded
+   blocks. In a task the overlap of two blocks is counted fragment by fragment as small matrix products and summed per
+   pair; what leaves the task is a spanning forest of the links found, never the pairs.
 3. Components of the links.
 
 Defined cases: a null or blank text has an empty set, links with nothing and is its own component; fewer words than a
@@ -36,6 +36,8 @@ WORDS, NUM, DEN = 5, 80, 100
 LOW = 0.26
 #: Shingles of a block of classes, and fragments in which a task counts.
 BLOCK_SHINGLES, FRAGMENT_SHINGLES = 400_000, 4096
+#: Classes that share a shingle, up to which they are compared pair by pair.
+FEW = 16
 #: Bits of the filter that thins out the texts read again for verification; beyond them it just lets more through.
 FILTER_BITS = 1 << 20
 
@@ -83,11 +85,11 @@ def jaccard_components(
     read = stash(read.withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = read.where("sig is not null").groupBy("sig").agg(F.min("row").alias("rep"), F.min("id").alias("least"))
     classes = stash(classes, "classes")
-    reps = read.drop("id").join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    reps = read.drop("id").join(classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
     grams = reps.select(F.col("row").alias("id"), "n", "low", F.posexplode("first").alias("pos", "gram"))
     grams = grams.withColumn("late", F.col("pos") >= F.col("low")).drop("pos")
     counts = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    shared = grams.join(counts, "gram")
+    shared = grams.join(counts.hint("merge"), "gram")
     # of a class's prefix, what is not shared cannot match but takes its places: all of it is rarer than what is shared
     of_class = Window.partitionBy("id")
     order = of_class.orderBy("late", F.when(F.col("late"), F.lit(0)).otherwise(F.col("df")), "gram")
@@ -96,11 +98,18 @@ def jaccard_components(
     shared = shared.select("id", "gram", "late", "low", n_prefix.alias("p"), F.row_number().over(order).alias("k"), alone_low.alias("alone"))
     # late shingles are only sent as far as the prefix reaches, so each of them is in it
     prefix = stash(shared.where("late or k + alone <= p").select("id", "gram"), "prefix")
-    stars = prefix.groupBy("gram").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").select("gram", "center")
+    many = stash(prefix.groupBy("gram").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1"), "many")
+    # a shingle of few classes gives their pairs, one of many a star that connects them for the comparison in blocks
+    sizes = reps.select(F.col("row").alias("id"), "n")
+    few = prefix.join(many.where(F.col("n") <= FEW).select("gram"), "gram").join(sizes, "id").select("gram", "id", "n")
+    x, y = few.alias("x"), few.alias("y")
+    fits = f"x.id < y.id and {den} * x.n >= {num} * y.n and {den} * y.n >= {num} * x.n"
+    pairs = stash(x.join(y, F.col("x.gram") == F.col("y.gram")).where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+    stars = many.where(F.col("n") > FEW).select("gram", "center")
     edges = prefix.join(stars, "gram").where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
     groups = stash(connected_components(edges), "groups")
-    texts = groups.join(read.select("row", "id", "n", "sig"), F.col("node") == F.col("row")).drop("node")
-    linked = connected_components(verify(rows, texts, words, num, den))
+    facts = read.select("row", "id", "n", "sig")
+    linked = connected_components(verify(rows, facts, pairs, groups, words, num, den))
 
     of = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "least", F.coalesce("component", "rep").alias("component"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -109,35 +118,54 @@ def jaccard_components(
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def verify(rows: DataFrame, load: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b): a spanning forest of those among the classes (row, id, n, sig) of each component."""
+def verify(rows: DataFrame, facts: DataFrame, pairs: DataFrame, groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b): those among pairs (a, b), and a spanning forest of those among the classes of each group.
+
+    facts: (row, id, n, sig) of the classes. A class is compared with its partners in one task, of which it holds one at
+    a time; a group is cut into blocks, and each pair of blocks is a task.
+    """
     spark = rows.sparkSession
+    partners = pairs.select(F.col("a").alias("component"), F.lit(1).alias("block"), F.col("b").alias("row"))
+    owners = pairs.select(F.col("a").alias("component"), F.lit(0).alias("block"), F.col("a").alias("row")).distinct()
+    of_pairs = partners.union(owners).select(F.lit(0).alias("kind"), "component", F.lit(0).alias("one"), F.lit(1).alias("two"), "block", "row")
+
+    load = groups.withColumnRenamed("node", "row").join(facts.select("row", "n"), "row")
+    blocks = load.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    load = load.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    load = load.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    of_groups = load.select(F.lit(1).alias("kind"), "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "row")
+    tasks = stash(of_pairs.union(of_groups).join(facts.select("row", "id", "sig"), "row"), "tasks")
+
+    # texts that nothing is compared with are thinned out before the join
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    mask = load.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
+    mask = tasks.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
     mask = mask.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))  # at most FILTER_BITS / 32 rows
     near = rows.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 5)).join(F.broadcast(mask), "word")
     near = near.where("(shiftright(bits, cast(bit & 31 as int)) & 1) = 1").select(F.col("id").alias("text_id"), "text")
-    blocks = load.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    load = load.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    texts = near.join(load, near["text_id"].eqNullSafe(load["id"]))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = texts.withColumn("other", other).select(
-        "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "row", "sig", "text"
-    )
-    keys = ["component", "one", "two"]
-    dealt = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+    dealt = near.join(tasks, near["text_id"].eqNullSafe(tasks["id"])).select("kind", "component", "one", "two", "block", "row", "sig", "text")
+    keys = ["kind", "component", "one", "two"]
+    dealt = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "block")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         stream = (row for batch in batches for row in batch.itertuples(index=False, name=None))
         a, b = [], []
-        for (_, one, two), same in itertools.groupby(stream, key=lambda r: r[:3]):
-            left, right = {}, {}
+        for (kind, _, one, two), same in itertools.groupby(stream, key=lambda r: r[:4]):
+            left, right, found = {}, {}, []
             for *_, block, key, sig, text in same:
                 s = shingles(_words(text), hashes, words)
-                if xxhash.xxh3_128_digest(s.tobytes()) == sig:  # else another row of the same identifier
-                    (left if block == one else right)[key] = s
-            for x, y in forest([*left.items()], [*right.items()] if one != two else None, num, den):
+                if xxhash.xxh3_128_digest(s.tobytes()) != sig:  # another row of the same identifier
+                    continue
+                (left if block == one else right)[key] = s
+                if kind == 0 and right:  # the owner came first
+                    ((owner, mine),) = left.items()
+                    shared = len(np.intersect1d(mine, s, assume_unique=True))
+                    if den * shared >= num * (len(mine) + len(s) - shared):
+                        found.append((owner, key))
+                    right.clear()
+            if kind == 1:
+                found = forest([*left.items()], [*right.items()] if one != two else None, num, den)
+            for x, y in found:
                 a.append(x)
                 b.append(y)
             if len(a) > 10_000:
