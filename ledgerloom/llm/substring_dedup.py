@@ -35,7 +35,8 @@ WINDOW, GRAM = 35, 8
 SHARD_WORDS, HOT_SEGMENTS = 600_000, 2_000
 
 
-PARTS = {"doc": "long", "mark": "long", "anchor": "long", "content": "long", "start": "int", "count": "int"}
+#: A document's different segments: the first start of each, the others (null where there are none), windows, number.
+PARTS = {"doc": "long", "mark": "long", "anchor": "long", "content": "long", "start": "int", "rest": "array<int>", "count": "int", "times": "int"}
 
 
 def segments(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,17 +165,24 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, g
                     data = memoryview(h).cast("B")
                     ends = 8 * (start + count + window - 1)
                     content = [xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip((8 * start).tolist(), ends.tolist(), strict=True)]
-                    ids = np.empty((2, len(start)), np.int64)
+                    # a text that repeats itself brings each segment once, with all its places
+                    own, first, which, times = np.unique(np.array(content, np.uint64), return_index=True, return_inverse=True, return_counts=True)
+                    rest = np.full(len(own), None, object)
+                    if len(own) < len(start):
+                        places = np.split(np.argsort(which, kind="stable"), np.cumsum(times)[:-1])
+                        for k in np.flatnonzero(times > 1).tolist():
+                            rest[k] = start[places[k][1:]].astype(np.int32)
+                    ids = np.empty((2, len(own)), np.int64)
                     ids[0], ids[1] = doc, mark
-                    out.append((ids[0], ids[1], anchor.view(np.int64), np.array(content, np.uint64).view(np.int64), start.astype(np.int32), count.astype(np.int32)))
+                    out.append((ids[0], ids[1], anchor[first].view(np.int64), own.view(np.int64), start[first].astype(np.int32), rest, count[first].astype(np.int32), times.astype(np.int32)))
                 if out:
                     yield pd.DataFrame(dict(zip(PARTS, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     parts = stash(rows.mapInPandas(find, ", ".join(f"{k} {v}" for k, v in PARTS.items())), "segments")
-    twice = parts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    twice = parts.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     # one row for each different segment, with its number and one place where its words stand
     kinds = parts.join(twice, "anchor", "left_semi").groupBy("anchor", "content").agg(
-        F.count("*").alias("weight"), F.min(F.struct("doc", "mark", "start", "count")).alias("at")
+        F.sum("times").alias("weight"), F.min(F.struct("doc", "mark", "start", "count")).alias("at")
     )
     kinds = stash(kinds.select("anchor", "content", "weight", "at.*"), "kinds")
     hot = stash(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(f"kinds > {HOT_SEGMENTS}").select("anchor"), "hot")
@@ -249,8 +257,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, g
         found = cold_found.union(of_hot.select("anchor", "segment", "mask"))
     else:
         found = found.withColumnRenamed("key", "anchor")
-    hits = parts.join(found, ["anchor", "content"]).groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "mask")).alias("x"))
-    hits = hits.select("doc", "mark", F.col("x.start").alias("starts"), F.col("x.mask").alias("masks"))
+    hits = parts.join(found, ["anchor", "content"]).groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "rest", "mask")).alias("x"))
+    all_starts = F.transform("x", lambda h: F.concat(F.array(h["start"]), F.coalesce(h["rest"], F.array().cast("array<int>"))))
+    hits = hits.select("doc", "mark", all_starts.alias("starts"), F.col("x.mask").alias("masks"))
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def cut(texts: pd.Series, starts: pd.Series, masks: pd.Series) -> pd.DataFrame:
@@ -260,13 +269,13 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, g
             kept, gone = words, 0
             if start_ is not None:
                 edge = np.zeros(len(words) + 1, np.int64)
-                for start, mask in zip(start_.tolist(), mask_.tolist(), strict=True):
+                for at, mask in zip(start_, mask_.tolist(), strict=True):
                     while mask:  # a run of windows at a time
                         low = (mask & -mask).bit_length() - 1
                         rest = (mask >> low) + 1
                         run = (rest & -rest).bit_length() - 1
-                        edge[start + low] += 1
-                        edge[start + low + run - 1 + window] -= 1
+                        np.add.at(edge, at + low, 1)
+                        np.add.at(edge, at + low + run - 1 + window, -1)
                         mask &= ~(((1 << run) - 1) << low)
                 covered = np.cumsum(edge[:-1]) > 0
                 gone = int(covered.sum())
