@@ -1,11 +1,12 @@
 """Document fingerprints (operator 10), native.
 
-A text's paragraphs are its lines, cut further every `SLICE` characters; each has a 64-bit digest. An invertible Bloom
-lookup sketch holds the distinct digests in three rows of cells: a digest adds one to the count of its cell in each row
-and is xored into the cell's key and check sums. The fingerprint is the text of these cells, so equal texts have equal
+A text's paragraphs are its lines, cut further every `SLICE` characters; each has a digest of 40 hash bits and 24 bits
+that check them. An invertible Bloom lookup sketch holds the distinct digests in four rows of cells: a digest adds one
+to the count of its cell in each row and is xored into the cell's sum. The fingerprint is the text of these cells, so equal texts have equal
 fingerprints. The sketches of two versions subtract cell by cell: what they share cancels, and peeling (a cell that holds
 exactly one digest gives it away and releases its other cells) recovers the digests that differ. Where peeling gets
-stuck, it is tried again on larger sketches: `2^k` sketches of the same size, each for the digests of one hash class.
+stuck, it is tried again on a larger sketch, made of as many sketches of the same size as the digests need, each for one
+hash class of them; a class that gets stuck is tried again on four.
 
 Likeness is shared digests over all digests of both, (a + b - d) / (a + b + d) for a and b digests of which d differ.
 
@@ -24,10 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stash, table
 
-#: Cells in each of three rows of a sketch, characters in a paragraph's slice, rounds of peeling in one try.
-CELLS, SLICE, ROUNDS = 9, 160, 10
-#: Times a pair is tried again with more sketches, and how many times as many each time.
-TRIES, MORE = 3, 4
+#: Rows of a sketch and cells in each (a prime), characters in a paragraph's slice, rounds of peeling in one try.
+ROWS, CELLS, SLICE, ROUNDS = 4, 7, 160, 12
 
 
 def digests(text: Column) -> Column:
@@ -36,7 +35,8 @@ def digests(text: Column) -> Column:
         F.sequence(F.lit(0), F.floor((F.length(line) - 1) / SLICE).cast("int")), lambda i: F.substring(line, i * SLICE + 1, F.lit(SLICE))
     )
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    return F.array_distinct(F.transform(F.flatten(F.transform(lines, cut)), lambda p: F.xxhash64(p)))
+    hashed = F.transform(F.flatten(F.transform(lines, cut)), lambda p: F.shiftright(F.xxhash64(p), 24))
+    return F.array_distinct(F.transform(hashed, lambda h: F.shiftleft(h, 24).bitwiseOR(F.xxhash64(h).bitwiseAND(0xFFFFFF))))
 
 
 # What follows writes SQL expressions as text: names are columns or lambda variables.
@@ -47,73 +47,73 @@ def let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def in_cell(key: str, cell: int) -> str:
-    """Whether a digest belongs to a cell; cells are numbered through all three rows."""
-    row, at = divmod(cell, CELLS)
-    return f"(pmod(shiftrightunsigned({key}, {20 * row + 1}), {CELLS}L) = {at}L)"
+def cell_of(key: str, row: int) -> str:
+    """The cell of a digest in one of the rows; cells are numbered through all of them."""
+    return f"{row * CELLS}L + pmod(shiftrightunsigned({key}, {24 + 10 * row}), {CELLS}L)"
 
 
-def check(key: str) -> str:
-    return f"(xxhash64({key}, 1) & 4294967295L)"
+def holds_one(cell: str) -> str:
+    """Whether a cell is left with one digest: its check bits are those of its hash bits."""
+    return f"(abs({cell}.n) = 1 and (xxhash64(shiftright({cell}.key, 24)) & 16777215L) = ({cell}.key & 16777215L))"
 
 
 def sketch(keys: str) -> str:
-    """Cells (n, key, check) of a set of digests."""
-    cell = f"named_struct('n', size(o), 'key', aggregate(o, 0L, (x, k) -> x ^ k), 'check', aggregate(o, 0L, (x, k) -> x ^ {check('k')}))"
-    return "array(" + ", ".join(let(f"filter({keys}, k -> {in_cell('k', i)})", "o", cell) for i in range(3 * CELLS)) + ")"
+    """Cells (n, key) of a set of digests."""
+    cells = []
+    for i in range(ROWS * CELLS):
+        own = f"filter({keys}, k -> {cell_of('k', i // CELLS)} = {i}L)"
+        cells.append(let(own, "o", "named_struct('n', size(o), 'key', aggregate(o, 0L, (x, k) -> x ^ k))"))
+    return "array(" + ", ".join(cells) + ")"
 
 
 def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'key', x.key ^ y.key, 'check', x.check ^ y.check))"
+    return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'key', x.key ^ y.key))"
 
 
 def difference(cells: str) -> str:
     """Number of digests that differ, by peeling a difference of sketches; null where it got stuck."""
-
-    def without(i: int) -> str:
-        c = f"element_at(s.cells, {i + 1})"
-        less = (
-            f"named_struct('n', {c}.n - aggregate(h, 0, (x, p) -> x + p.n), 'key', {c}.key ^ aggregate(h, 0L, (x, p) -> x ^ p.key), "
-            f"'check', {c}.check ^ aggregate(h, 0L, (x, p) -> x ^ {check('p.key')}))"
-        )
-        return let(f"filter(g, p -> {in_cell('p.key', i)})", "h", f"if(size(h) = 0, {c}, {less})")
-
-    pure = f"filter(s.cells, c -> abs(c.n) = 1 and {check('c.key')} = c.check)"
-    given = f"array_distinct(transform({pure}, c -> named_struct('n', c.n, 'key', c.key)))"
-    cells_after = "array(" + ", ".join(map(without, range(3 * CELLS))) + ")"
-    one_round = let(given, "g", f"if(size(g) = 0, s, named_struct('cells', {cells_after}, 'found', s.found + size(g)))")
+    given = f"array_distinct(transform(filter(s.cells, c -> {holds_one('c')}), c -> named_struct('n', c.n, 'key', c.key)))"
+    places = "array(" + ", ".join(cell_of("p.key", r) for r in range(ROWS)) + ")"
+    less = f"transform(cs, (c, i) -> if({' or '.join(f'i = w[{r}]' for r in range(ROWS))}, named_struct('n', c.n - p.n, 'key', c.key ^ p.key), c))"
+    taken = f"aggregate(g, s.cells, (cs, p) -> {let(places, 'w', less)})"
+    one_round = let(given, "g", f"named_struct('cells', if(size(g) = 0, s.cells, {taken}), 'found', s.found + size(g), 'more', size(g) > 0)")
     rounds = "array(" + ", ".join(map(str, range(ROUNDS))) + ")"
-    peeled = f"aggregate({rounds}, named_struct('cells', {cells}, 'found', 0), (s, r) -> {one_round})"
-    return let(peeled, "e", "if(exists(e.cells, c -> c.n <> 0 or c.key <> 0 or c.check <> 0), null, cast(e.found as bigint))")
+    peeled = f"aggregate({rounds}, named_struct('cells', {cells}, 'found', 0, 'more', true), (s, r) -> if(s.more, {one_round}, s))"
+    return let(peeled, "e", "if(exists(e.cells, c -> c.n <> 0 or c.key <> 0), null, cast(e.found as bigint))")
+
+
+def exactly(a: str, b: str) -> str:
+    """The last resort after all tries, which chance makes rare: the digests themselves."""
+    return f"cast(size(array_except({a}, {b})) + size(array_except({b}, {a})) as bigint)"
 
 
-def larger(a: str, b: str, times: int) -> str:
-    """difference() over the pairs of sketches of `classes` hash classes, as many as the digests need and `times` as many;
-    null if one gets stuck.
+def larger(a: str, b: str) -> str:
+    """difference() over the pairs of sketches of as many hash classes as the digests need. A class that gets stuck is
+    tried again on four.
 
     Digests are split in two steps, so that the work grows as n times the root of the number of classes.
     """
-    of = lambda s, seed, c: f"named_struct('a', filter({s}.a, k -> pmod(xxhash64(k, {seed}), q.steps) = {c}), 'b', filter({s}.b, k -> pmod(xxhash64(k, {seed}), q.steps) = {c}))"
-    one = let(of("u", 3, "j"), "v", difference(subtract(sketch("v.a"), sketch("v.b"))))
-    fine = let(of("q", 2, "i"), "u", f"aggregate(sequence(0L, q.steps - 1L), 0L, (m, j) -> m + {one})")
-    whole = f"aggregate(sequence(0L, q.steps - 1L), 0L, (n, i) -> n + {fine})"  # null plus a number is null
-    steps = f"cast(ceil(sqrt({times} * greatest(2, ceil((size({a}) + size({b})) / {2 * CELLS})))) as bigint)"
+    part = lambda s, seed, steps, c: f"named_struct('a', filter({s}.a, k -> pmod(xxhash64(k, {seed}), {steps}) = {c}), 'b', filter({s}.b, k -> pmod(xxhash64(k, {seed}), {steps}) = {c}))"
+    one = lambda s: difference(subtract(sketch(f"{s}.a"), sketch(f"{s}.b")))
+    quarter = let(part("v", 4, "4L", "h"), "z", f"coalesce({one('z')}, {exactly('z.a', 'z.b')})")
+    again = f"aggregate(sequence(0L, 3L), 0L, (l, h) -> l + {quarter})"
+    # a try is evaluated only where the one before it got stuck
+    of_class = let(part("u", 3, "q.steps", "j"), "v", f"coalesce({one('v')}, {again})")
+    fine = let(part("q", 2, "q.steps", "i"), "u", f"aggregate(sequence(0L, q.steps - 1L), 0L, (m, j) -> m + {of_class})")
+    whole = f"aggregate(sequence(0L, q.steps - 1L), 0L, (n, i) -> n + {fine})"
+    steps = f"cast(ceil(sqrt(greatest(2, ceil((size({a}) + size({b})) / {2 * CELLS})))) as bigint)"
     return let(f"named_struct('a', {a}, 'b', {b}, 'steps', {steps})", "q", whole)
 
 
 def written(cells: str) -> str:
-    """A sketch as text: base64 of two bytes for the count, eight for the key sum and four for the check sum of each cell."""
-    cell = "concat(lpad(hex(c.n), 4, '0'), lpad(hex(c.key), 16, '0'), lpad(hex(c.check), 8, '0'))"
+    """A sketch as text: base64 of two bytes for the count and eight for the sum of each cell."""
+    cell = "concat(lpad(hex(c.n), 4, '0'), lpad(hex(c.key), 16, '0'))"
     return f"base64(unhex(array_join(transform({cells}, c -> {cell}), '')))"
 
 
 def likeness(a: str, b: str) -> Column:
     """Of the digests in columns a and b, whose sketches are in a_cells and b_cells."""
-    tries = [larger(a, b, MORE**k) for k in range(TRIES)]
-    # the last resort after all tries, which chance makes rare: the digests themselves
-    exact = f"cast(size(array_except({a}, {b})) + size(array_except({b}, {a})) as bigint)"
-    # a try is evaluated only where the one before it got stuck
-    d = f"coalesce({difference(subtract(f'{a}_cells', f'{b}_cells'))}, {', '.join(tries)}, {exact})"
+    d = f"coalesce({difference(subtract(f'{a}_cells', f'{b}_cells'))}, {larger(a, b)})"
     n = f"(size({a}) + size({b}))"
     return F.expr(f"if({n} = 0, 1D, {let(d, 'd', f'cast({n} - d as double) / ({n} + d)')})")
 
