@@ -1,14 +1,15 @@
 """License scans (operator 9): conditional compression.
 
 A document's candidate blocks are its sentences that hold a word of the templates' trade. Each is compressed alone and
-with each template as a zstandard raw dictionary; how much smaller a template makes it, as a share, ranks the templates.
+with each template as a zstandard raw dictionary; how much smaller a template makes it, as a share of the block's size or
+the template's, whichever is smaller, ranks the templates.
 Winners at or above `least` are confirmed by wording: the words that must be removed from and added to the template to
 give the block (case, punctuation and spacing aside), zero for an exact quotation, at most `most_changed` of the
 template's words for a match.
 
 Templates come in few lines and are part of the task; nothing is shuffled. The cut into blocks holds a text of one long
 sentence too: such a block is compared with the stretch of it that starts at each trade word, of twice the longest
-template's length.
+template's length, and the template may begin and end anywhere in it.
 
 Defined cases: null and empty texts have no rows; repeated rows give repeated results; a null identifier stays; among
 equal reductions the first template in byte order wins; extra columns are not read.
@@ -43,7 +44,7 @@ TEMPLATES = [
 ]
 #: Every template holds one of these, in any case.
 TRADE = ["licen[cs]e", "permission", "redistribut", "free software"]
-LEAST, MOST_CHANGED = 0.3, 0.25
+LEAST, MOST_CHANGED = 0.3, 0.3
 
 _trade = re.compile("|".join(TRADE), re.I)
 _end = re.compile(r"(?<=[.!?:])\s+|\n+")
@@ -54,14 +55,14 @@ def wording(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
-def changed(a: list[str], b: list[str]) -> int:
-    """Words to remove from a and to add to it to make b."""
-    row = list(range(len(b) + 1))
+def changed(a: list[str], b: list[str], within: bool = False) -> int:
+    """Words to remove from a and to add to it to make b, or the stretch of b that is most like it."""
+    row = [0] * (len(b) + 1) if within else list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], last if x == y else 1 + min(row[j], row[j - 1])
-    return row[-1]
+    return min(row) if within else row[-1]
 
 
 class Scanner:
@@ -73,10 +74,11 @@ class Scanner:
             zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for _, t in self.templates
         ]
+        self.sizes = [len(self.alone.compress(t.lower().encode())) for _, t in self.templates]
         self.longest = 2 * max(len(t) for _, t in self.templates)
 
-    def blocks(self, text: str) -> Iterator[tuple[int, str]]:
-        """(start in text, block) of each candidate."""
+    def blocks(self, text: str) -> Iterator[tuple[int, str, bool]]:
+        """(start in text, block, whether it is a stretch of a longer one) of each candidate."""
         if not _trade.search(text):
             return
         at = 0
@@ -85,7 +87,7 @@ class Scanner:
             block = text[at:end]
             if len(block) <= self.longest:
                 if _trade.search(block):
-                    yield at, block
+                    yield at, block, False
             else:  # no sentence end for long: stretches around the trade words, each word in one
                 done = 0
                 for m in _trade.finditer(block):
@@ -93,19 +95,19 @@ class Scanner:
                         start = max(0, m.start() - self.longest // 2)
                         start = start and block.find(" ", start, m.start()) + 1 or start
                         done = m.start() + self.longest // 2
-                        yield at + start, block[start:done]
+                        yield at + start, block[start:done], True
             at = cut.end() if cut else end
 
     @lru_cache(10_000)  # noqa: B019
-    def best(self, block: str) -> tuple[int, float, int] | None:
+    def best(self, block: str, within: bool = False) -> tuple[int, float, int] | None:
         """(template, reduction, changed words) of the winner, if it is confirmed."""
         raw, words = block.lower().encode(), wording(block)
         size = len(self.alone.compress(raw))
-        ranked = sorted((-(size - len(c.compress(raw))) / size, k) for k, c in enumerate(self.given))
+        ranked = sorted((-(size - len(c.compress(raw))) / min(size, self.sizes[k]), k) for k, c in enumerate(self.given))
         for reduction, k in ranked[:3]:
             if -reduction < LEAST:
                 break
-            n = changed(self.words[k], words)
+            n = changed(self.words[k], words, within)
             if n <= MOST_CHANGED * len(self.words[k]):
                 return k, -reduction, n
         return None
@@ -127,8 +129,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         for batch in batches:
             out = []
             for key, text in zip(batch["id"].astype("Int64"), batch["text"], strict=True):
-                for start, block in own.blocks(text):
-                    if found := own.best(block):
+                for start, block, within in own.blocks(text):
+                    if found := own.best(block, within):
                         k, reduction, n = found
                         out.append((key, start, block, own.templates[k][0], k, reduction, n, n == 0))
             yield pd.DataFrame(out, columns=["id", "start", "block", "license", "wording", "reduction", "n_changed", "exact"]).astype({"id": "Int64"})

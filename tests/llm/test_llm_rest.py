@@ -110,7 +110,7 @@ def test_licenses_against_every_template(spark, small):
     want = Counter()
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
     for r in docs.collect():
-        for _, block in scanner.blocks(r.text):
+        for _, block, _ in scanner.blocks(r.text):
             for (name, _), words in zip(scanner.templates, scanner.words, strict=True):
                 want[r.doc_id, name] += words == license_scan.wording(block)
     assert got == +want
