@@ -82,10 +82,11 @@ class ByteCNN:
         logits = np.exp(logits - logits.max(1, keepdims=True))
         return logits / logits.sum(1, keepdims=True)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 0) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, least_steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 0) -> None:
         rng = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
-        steps = max(1, epochs * -(-len(x) // batch))
+        epochs = max(epochs, -(-least_steps * batch // len(x)))  # few windows are shown more often
+        steps = epochs * -(-len(x) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
