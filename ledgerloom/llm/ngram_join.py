@@ -34,8 +34,8 @@ from .common import WordHashes, connected_components, gram_hashes, partitions, s
 WORDS, NUM, DEN = 5, 80, 100
 #: Share of the global order that the low fragments hold.
 LOW = 0.26
-#: Shingles of a block of classes, and fragments in which a task counts.
-BLOCK_SHINGLES, FRAGMENT_SHINGLES = 400_000, 4096
+#: Shingles and classes of a block, which bound what a task holds, and fragments in which it counts.
+BLOCK_SHINGLES, BLOCK_CLASSES, FRAGMENT_SHINGLES = 400_000, 1500, 2048
 #: Classes that share a shingle, up to which they are compared pair by pair.
 FEW = 16
 #: Bits of the filter that thins out the texts read again for verification; beyond them it just lets more through.
@@ -66,8 +66,8 @@ def jaccard_components(
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
                 n, sig, count, first = [], [], [], []
                 for text in part["text"]:
                     s = shingles(_words(text), hashes, words)
@@ -130,7 +130,8 @@ def verify(rows: DataFrame, facts: DataFrame, pairs: DataFrame, groups: DataFram
     of_pairs = partners.union(owners).select(F.lit(0).alias("kind"), "component", F.lit(0).alias("one"), F.lit(1).alias("two"), "block", "row")
 
     load = groups.withColumnRenamed("node", "row").join(facts.select("row", "n"), "row")
-    blocks = load.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    enough = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_CLASSES)), F.lit(1))
+    blocks = load.groupBy("component").agg(enough.cast("int").alias("blocks"))
     load = load.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     load = load.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     of_groups = load.select(F.lit(1).alias("kind"), "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "row")
@@ -178,54 +179,52 @@ def verify(rows: DataFrame, facts: DataFrame, pairs: DataFrame, groups: DataFram
 
 def forest(left: list, right: list | None, num: int, den: int) -> list[tuple[int, int]]:
     """Links between left and right (or within left) that span what is linked there."""
-    if right is None:
-        right = left
-    if len(left) < 1 or len(right) < 1 or left is right and len(left) < 2:
+    same = right is None
+    right = left if same else right
+    if not left or not right or same and len(left) < 2:
         return []
     (lk, ls, lo), (rk, rs, ro) = _flat(left), _flat(right)
-    both = np.intersect1d(ls, rs) if left is not right else np.unique(ls)
-    if left is right:
+    if same:
         values, times = np.unique(ls, return_counts=True)
         both = values[times > 1]
-    ln, rn = np.array([len(s) for _, s in left]), np.array([len(s) for _, s in right])
-    overlap = np.zeros((len(left), len(right)), np.float32)
-    lp, rp = np.searchsorted(both, ls), np.searchsorted(both, rs)
-    lin = (lp < len(both)) & (both[np.minimum(lp, len(both) - 1)] == ls) if len(both) else np.zeros(len(ls), bool)
-    rin = (rp < len(both)) & (both[np.minimum(rp, len(both) - 1)] == rs) if len(both) else np.zeros(len(rs), bool)
-    lp, lo, rp, ro = lp[lin], lo[lin], rp[rin], ro[rin]
-    if left is right and len(left) == 2:
-        overlap[0, 1] = overlap[1, 0] = len(both)
     else:
-        width = max(64, min(FRAGMENT_SHINGLES, 4_000_000 // max(len(left), len(right))))
-        for start in range(0, len(both), width):  # one vertical fragment
-            x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
-            at = (lp >= start) & (lp < start + width)
-            x[lo[at], lp[at] - start] = 1
-            at = (rp >= start) & (rp < start + width)
-            y[ro[at], rp[at] - start] = 1
-            overlap += x @ y.T
-    inter = overlap.astype(np.int64)
-    linked = den * inter >= num * (ln[:, None] + rn[None, :] - inter)
-    linked &= inter > 0
-    if left is right:
-        linked = np.triu(linked, 1)
-    root: dict[int, int] = {}
-
-    def find(k: int) -> int:
-        while root.setdefault(k, k) != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        p, q = find(x := lk[i]), find(y := rk[j])
-        if p != q:
-            root[p] = q
-            out.append((x, y))
+        both = np.intersect1d(ls, rs)
+    (lp, lo), (rp, ro) = _places(both, ls, lo), _places(both, rs, ro)
+    overlap = np.zeros((len(left), len(right)), np.float32)  # counts up to 2^24 are exact
+    for start in range(0, len(both), FRAGMENT_SHINGLES):  # one vertical fragment
+        width = min(FRAGMENT_SHINGLES, len(both) - start)
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        for matrix, place, owner in ((x, lp, lo), (y, rp, ro)):
+            at = slice(*np.searchsorted(place, [start, start + width]))
+            matrix[owner[at], place[at] - start] = 1
+        overlap += x @ y.T
+    ln, rn = np.array([len(s) for _, s in left]), np.array([len(s) for _, s in right])
+    # trees so far, by the number of a node in left and then right
+    tree, shift, out = np.arange(len(left) if same else len(left) + len(right)), 0 if same else len(left), []
+    for i in range(len(left)):
+        shared = overlap[i].astype(np.int64)
+        linked = (shared > 0) & ((den + num) * shared >= num * (ln[i] + rn))
+        if same:
+            linked[: i + 1] = False
+        found = np.flatnonzero(linked)
+        for other, j in zip(*np.unique(tree[found + shift], return_index=True), strict=True):
+            if other != tree[i]:
+                tree[tree == other] = tree[i]
+                out.append((lk[i], rk[found[j]]))
     return out
 
 
+def _places(both: np.ndarray, shingled: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in both, owner) of the shingles that are in both, by place."""
+    if not len(both):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    place = np.minimum(np.searchsorted(both, shingled), len(both) - 1)
+    held = both[place] == shingled
+    place, owner = place[held], owner[held]
+    order = np.argsort(place, kind="stable")
+    return place[order], owner[order]
+
+
 def _flat(block: list) -> tuple[list[int], np.ndarray, np.ndarray]:
     sizes = [len(s) for _, s in block]
     return [k for k, _ in block], np.concatenate([s for _, s in block]), np.repeat(np.arange(len(block)), sizes)

@@ -59,10 +59,33 @@ def test_ngram_join(hard, hard_texts, monkeypatch, few, block):
     monkeypatch.setattr(ngram_join, "FEW", few)
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(ngram_join, "FRAGMENT_SHINGLES", 64)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block // 100)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(hard).collect())
     assert got == brute_components([*hard_texts, (None, "no identifier at all")])
 
 
+def test_forest_spans_the_links_of_two_blocks(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "FRAGMENT_SHINGLES", 16)
+    rng = np.random.default_rng(1)
+    sets = [(k, np.unique(rng.integers(k % 3 * 30, k % 3 * 30 + 30, 60)).astype(np.uint64)) for k in range(60)]
+    for left, right in ((sets, None), (sets[:25], sets[25:]), (sets[:1], None), ([], sets)):
+        pairs = [(a, b) for a in left for b in (right or left) if a[0] != b[0]]
+        links = [(a[0], b[0]) for a, b in pairs if 100 * len(np.intersect1d(a[1], b[1])) >= 80 * len(np.union1d(a[1], b[1]))]
+        got = ngram_join.forest(left, right, 80, 100)
+        assert {*got} <= {*links} | {(b, a) for a, b in links}
+
+        def groups(edges):
+            of = {k: {k} for k, _ in sets}
+            for a, b in edges:
+                both = of[a] | of[b]
+                of.update(dict.fromkeys(both, both))
+            return {frozenset(x) for x in of.values()}
+
+        assert groups(got) == groups(links) and len(got) == 60 - len(groups(links))
+
+
 def test_ngram_join_of_nothing(none):
     assert ngram_join.jaccard_components(none).count() == 0
 
