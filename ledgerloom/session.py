@@ -8,12 +8,18 @@ from pathlib import Path
 from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
+#: Rows that Python gets at a time where the session still has Spark's default (10,000): rows with whole texts are long,
+#: and worker processes keep the memory that their largest batch took.
+BATCH_SETTING, SPARKS_BATCH, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application; they need not have it installed."""
+    """Send this package to the executors, once an application; they need not have it installed. Also bounds batches."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING) == SPARKS_BATCH:
+        spark.conf.set(BATCH_SETTING, BATCH)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
