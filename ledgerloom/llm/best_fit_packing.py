@@ -49,7 +49,7 @@ class WordEncoder(dict):
     what stands between two such spaces is encoded alike wherever it stands.
     """
 
-    most = 600_000
+    most = 250_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
