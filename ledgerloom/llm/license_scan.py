@@ -1,26 +1,31 @@
 """License scans (operator 9): conditional compression.
 
-A document's candidate blocks are its sentences that hold a word of the templates' trade. Each is compressed alone and
-with each template as a zstandard raw dictionary; how much smaller a template makes it, as a share of the block's size or
-the template's, whichever is smaller, ranks the templates.
-Winners at or above `least` are confirmed by wording: the words that must be removed from and added to the template to
-give the block (case, punctuation and spacing aside), zero for an exact quotation, at most `most_changed` of the
-template's words for a match.
+A document's candidates are stretches of words around each word of the templates' trade; they run across line breaks and
+sentence ends, and stretches that overlap are one. In each, a template is compared by wording with every run of words, free
+to begin and end anywhere: the words that must be removed from and added to the template to give the run (case, punctuation
+and spacing aside), zero for an exact quotation, at most `MOST_CHANGED` of the template's words for a match. For each end
+the cheapest run counts, the shortest among equals, if it holds a word of the trade; so the cut into stretches loses nothing.
+Each run is compressed alone and with the template as a zstandard raw dictionary, and how much smaller the template makes
+it, as a share of the run's size or the template's, whichever is smaller, must reach `LEAST`.
 
-Templates come in few lines and are part of the task; nothing is shuffled. The cut into blocks holds a text of one long
-sentence too: such a block is compared with the stretch of it that starts at each trade word, of twice the longest
-template's length, and the template may begin and end anywhere in it.
+Of runs that overlap, the one that has most words of its template, less those added, wins, then the larger reduction.
+Words of the same sentence that stand in place of the template's missing first or last ones are shown and counted as added,
+as far as the run stays a match.
+
+Templates come in few lines and are part of the task; nothing is shuffled.
 
 Defined cases: null and empty texts have no rows; repeated rows give repeated results; a null identifier stays; among
-equal reductions the first template in byte order wins; extra columns are not read.
+equal runs the first template in byte order wins; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +48,7 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 #: Every template holds one of these, in any case.
-TRADE = ["licen[cs]e", "permission", "redistribut", "free software"]
+TRADE = ["licen[cs]e", "permission", "redistribut", r"free[\W_]+software"]
 LEAST, MOST_CHANGED = 0.3, 0.3
 
 _trade = re.compile("|".join(TRADE), re.I)
@@ -55,62 +60,111 @@ def wording(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
-def changed(a: list[str], b: list[str], within: bool = False) -> int:
-    """Words to remove from a and to add to it to make b, or the stretch of b that is most like it."""
-    row = [0] * (len(b) + 1) if within else list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last if x == y else 1 + min(row[j], row[j - 1])
-    return min(row) if within else row[-1]
+def changed(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each end in b, 0 to len(b): words to remove from a and to add to it to make the run of b that ends there and is
+    most like it, and where that run starts (the shortest among equals)."""
+    n = len(b)
+    step = n + 1
+    added = np.arange(n + 1) * step
+    row = np.arange(n, -1, -1)  # cost times step, plus n - start
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y, []).append(j)
+    for x in a:
+        last, row = row, row + step
+        if x in places:
+            at = np.array(places[x])
+            row[at + 1] = np.minimum(row[at + 1], last[at])
+        row = np.minimum.accumulate(row - added) + added
+    return row // step, n - row % step
 
 
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]]):
         self.templates = sorted(templates)
         self.words = [wording(t) for _, t in self.templates]
+        self.limits = [int(MOST_CHANGED * len(w)) for w in self.words]
+        self.reach = max(len(w) + most for w, most in zip(self.words, self.limits, strict=True))
         self.alone = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
+        raws = [" ".join(w).encode() for w in self.words]
         self.given = [
-            zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            for _, t in self.templates
+            zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(raw.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            for raw in raws
         ]
-        self.sizes = [len(self.alone.compress(t.lower().encode())) for _, t in self.templates]
-        self.longest = 2 * max(len(t) for _, t in self.templates)
+        self.sizes = [len(self.alone.compress(raw)) for raw in raws]
 
-    def blocks(self, text: str) -> Iterator[tuple[int, str, bool]]:
-        """(start in text, block, whether it is a stretch of a longer one) of each candidate."""
-        if not _trade.search(text):
-            return
+    def blocks(self, text: str) -> Iterator[tuple[int, str, int]]:
+        """(start, sentence or line, end) of each that holds a word of the trade."""
         at = 0
         for cut in [*_end.finditer(text), None]:
             end = cut.start() if cut else len(text)
-            block = text[at:end]
-            if len(block) <= self.longest:
-                if _trade.search(block):
-                    yield at, block, False
-            else:  # no sentence end for long: stretches around the trade words, each word in one
-                done = 0
-                for m in _trade.finditer(block):
-                    if m.start() >= done:
-                        start = max(0, m.start() - self.longest // 2)
-                        start = start and block.find(" ", start, m.start()) + 1 or start
-                        done = m.start() + self.longest // 2
-                        yield at + start, block[start:done], True
+            if _trade.search(text, at, end):
+                yield at, text[at:end], end
             at = cut.end() if cut else end
 
-    @lru_cache(10_000)  # noqa: B019
-    def best(self, block: str, within: bool = False) -> tuple[int, float, int] | None:
-        """(template, reduction, changed words) of the winner, if it is confirmed."""
-        raw, words = block.lower().encode(), wording(block)
+    def reduction(self, k: int, words: list[str]) -> float:
+        raw = " ".join(words).encode()
         size = len(self.alone.compress(raw))
-        ranked = sorted((-(size - len(c.compress(raw))) / min(size, self.sizes[k]), k) for k, c in enumerate(self.given))
-        for reduction, k in ranked[:3]:
-            if -reduction < LEAST:
-                break
-            n = changed(self.words[k], words, within)
-            if n <= MOST_CHANGED * len(self.words[k]):
-                return k, -reduction, n
-        return None
+        return (size - len(self.given[k].compress(raw))) / min(size, self.sizes[k])
+
+    def runs(self, words: list[str], hits: list[int]) -> list[tuple[int, int, int, float, int]]:
+        """(first word, end, template, reduction, changed words) of the matches of a stretch that has hits at these words."""
+        held, found = set(words), []
+        before = np.zeros(len(words) + 1, np.int64)
+        np.add.at(before, np.array(hits) + 1, 1)
+        before = before.cumsum()
+        for _, k in sorted((-self.reduction(k, words), k) for k in range(len(self.words)))[:3]:
+            own, most = self.words[k], self.limits[k]
+            if sum(w not in held for w in own) > most:
+                continue
+            cost, start = changed(own, words)
+            for end in np.flatnonzero((cost <= most) & (before > before[start])).tolist():
+                at, n = int(start[end]), int(cost[end])
+                reduction = self.reduction(k, words[at:end])
+                if reduction >= LEAST:
+                    found.append((n - len(own), -reduction, k, at, end, n))
+        out, taken = [], np.zeros(len(words), bool)
+        for _, reduction, k, at, end, n in sorted(found):
+            if not taken[at:end].any():
+                taken[at:end] = True
+                out.append((at, end, k, -reduction, n))
+        return out[:1]
+
+    def scan(self, text: str) -> Iterator[tuple[int, str, int, float, int]]:
+        """(start, block, template, reduction, changed words) of each notice."""
+        if not _trade.search(text):
+            return
+        places = [m.span() for m in _word.finditer(text)]
+        starts = [x for x, _ in places]
+        words = [text[x:y].lower() for x, y in places]
+        sentences = [(at, end) for at, _, end in self.blocks(text)]
+        hits = sorted({bisect_right(starts, m.start()) - 1 for m in _trade.finditer(text)})
+        done = 0
+        while done < len(hits):
+            first = done
+            while done + 1 < len(hits) and hits[done + 1] - hits[done] <= 2 * self.reach:
+                done += 1
+            done += 1
+            low, high = max(0, hits[first] - self.reach), hits[done - 1] + self.reach + 1
+            found = self.runs(words[low:high], [h - low for h in hits[first:done]])
+            for i, (at, end, k, reduction, n) in enumerate(found):
+                at, end, own = at + low, end + low, self.words[k]
+                free = (found[i - 1][1] + low if i else low, found[i + 1][0] + low if i + 1 < len(found) else min(high, len(words)))
+                for back in (False, True):
+                    # the sentence that the run ends in, and then the one that it starts in
+                    s = bisect_right(sentences, (starts[at if back else end - 1], len(text))) - 1
+                    left, right = sentences[s] if s >= 0 else (0, 0)
+                    if (words[at] if back else words[end - 1]) == (own[0] if back else own[-1]):
+                        continue
+                    while end - at < len(own) and n < self.limits[k]:
+                        if back and at > free[0] and starts[at - 1] >= left and starts[at] < right:
+                            at -= 1
+                        elif not back and end < free[1] and starts[end] < right:
+                            end += 1
+                        else:
+                            break
+                        n += 1
+                yield starts[at], text[starts[at] : places[end - 1][1]], k, reduction, n
 
 
 @lru_cache(2)
@@ -129,10 +183,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         for batch in batches:
             out = []
             for key, text in zip(batch["id"].astype("Int64"), batch["text"], strict=True):
-                for start, block, within in own.blocks(text):
-                    if found := own.best(block, within):
-                        k, reduction, n = found
-                        out.append((key, start, block, own.templates[k][0], k, reduction, n, n == 0))
+                for start, block, k, reduction, n in own.scan(text):
+                    out.append((key, start, block, own.templates[k][0], k, reduction, n, n == 0))
             yield pd.DataFrame(out, columns=["id", "start", "block", "license", "wording", "reduction", "n_changed", "exact"]).astype({"id": "Int64"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -116,6 +117,55 @@ def test_licenses_against_every_template(spark, small):
     assert got == +want
 
 
+def sliding(scanner, text):
+    """(template, first word, end, changed) of a plain comparison of all templates with all runs of words."""
+    words, found = license_scan.wording(text), []
+    trade = [bool(re.search("licen[cs]e|permission|redistribut", w)) or (w.endswith("free") and nxt.startswith("software")) for w, nxt in zip(words, [*words[1:], ""], strict=True)]
+
+    def changed(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last if x == y else 1 + min(row[j], row[j - 1])
+        return row
+
+    for k, own in enumerate(scanner.words):
+        most, best = 0.3 * len(own), {}
+        for start in range(len(words)):
+            if len(set(own) - set(words[start : start + int(len(own) + most)])) > most:
+                continue
+            for n, cost in enumerate(changed(own, words[start : start + int(len(own) + most)])):
+                best[start + n] = min(best.get(start + n, (99, 0)), (cost, -start))
+        found += [(cost - len(own), -scanner.reduction(k, words[-start : end]), k, -start, end, cost) for end, (cost, start) in best.items() if cost <= most and any(trade[-start : end])]
+    out = []
+    for _, reduction, k, start, end, cost in sorted(found):
+        if reduction <= -0.3 and all(end <= x or start >= y for _, x, y, _ in out):
+            out.append((k, start, end, cost))
+    return sorted(out, key=lambda r: r[1])
+
+
+def agrees(scanner, text):
+    """The rows are those of the plain comparison; a row may show more words of its sentence."""
+    got, want = [*scanner.scan(text)], sliding(scanner, text)
+    assert [k for _, _, k, _, _ in got] == [k for k, *_ in want], text
+    for (start, block, _, _, n), (_, first, end, cost) in zip(got, want, strict=True):
+        at = len(license_scan.wording(text[:start]))
+        assert at <= first and at + len(license_scan.wording(block)) >= end and n - cost == len(license_scan.wording(block)) - (end - first), text
+        assert text[start : start + len(block)] == block
+    return got
+
+
+def test_licenses_across_lines_and_within_sentences():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for k, (name, notice) in enumerate(scanner.templates):
+        wrapped = textwrap.fill(f"Copyright by me. {notice} All else is left out.", 72, initial_indent="/* ", subsequent_indent=" * ")
+        inside = f"as all of this file is, see above, {notice[:-1]} and so on"
+        for text in (wrapped, notice.replace(" ", "\n"), inside, "x " * 700 + inside + " y" * 700):
+            assert [(j, n) for _, _, j, _, n in agrees(scanner, text)] == [(k, 0)], (name, text)
+    assert [n for *_, n in scanner.scan("This file is released under the MIT License.")] == [0]
+
+
 def test_pipeline(spark, small):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{small}/documents.parquet")
