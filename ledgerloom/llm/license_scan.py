@@ -113,8 +113,7 @@ class Scanner:
         before = np.zeros(len(words) + 1, np.int64)
         np.add.at(before, np.array(hits) + 1, 1)
         before = before.cumsum()
-        for _, k in sorted((-self.reduction(k, words), k) for k in range(len(self.words)))[:3]:
-            own, most = self.words[k], self.limits[k]
+        for k, (own, most) in enumerate(zip(self.words, self.limits, strict=True)):
             if sum(w not in held for w in own) > most:
                 continue
             cost, start = changed(own, words)
@@ -128,7 +127,7 @@ class Scanner:
             if not taken[at:end].any():
                 taken[at:end] = True
                 out.append((at, end, k, -reduction, n))
-        return out[:1]
+        return sorted(out)
 
     def scan(self, text: str) -> Iterator[tuple[int, str, int, float, int]]:
         """(start, block, template, reduction, changed words) of each notice."""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import textwrap
 from collections import Counter
@@ -166,6 +167,24 @@ def test_licenses_across_lines_and_within_sentences():
     assert [n for *_, n in scanner.scan("This file is released under the MIT License.")] == [0]
 
 
+def test_licenses_near_each_other():
+    """All notices of a stretch, also those of templates that compress it little."""
+    scanner, rng, n = license_scan.Scanner(license_scan.TEMPLATES), random.Random(4), 0
+    for gap in (1, 10, 75, 112, 150):
+        text = "Released under the MIT License " + "x " * gap + "Licensed under CC BY-NC 4.0 " + "y " * gap + "Released under the MIT License"
+        assert [scanner.templates[k][0] for _, _, k, _, _ in agrees(scanner, text)] == ["MIT", "CC-BY-NC-4.0", "MIT"]
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 6)):
+            own = rng.choice(scanner.templates)[1].split()
+            for _ in range(rng.randrange(0, 1 + len(own) // 4)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = rng.choice([[], ["new"], ["license"], ["under"]])
+            words += own + ["word"] * rng.choice([0, 1, 5, 60, 130])
+        n += len(agrees(scanner, "".join(w + rng.choice([" ", " ", " ", "\n", "\n# "]) for w in words)))
+    assert n > 100
+
+
 def test_pipeline(spark, small):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{small}/documents.parquet")
