@@ -59,7 +59,14 @@ def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN
 ) -> DataFrame:
     """id_col, n_shingles, component_id: components of links num/den or more of the union shared."""
-    spark = docs.sparkSession
+    read, of = components(docs, id_col, text_col, words, num, den)
+    out = read.select("id", "n", "sig").join(of.select("sig", F.col("first.id").alias("component_id")), "sig", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, n, sig) of the rows, where mark is a hash of the text, and (sig, first) of the classes: the first
+    (none, id, mark) of its component, null identifiers last."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     low_end = np.uint64(int(LOW * 2**64))
 
@@ -78,14 +85,15 @@ def jaccard_components(
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     count.append(low)
                     first.append(emit.view(np.int64))
-                yield pd.DataFrame({"id": part["id"].astype("Int64").to_numpy(), "n": n, "sig": sig, "low": count, "first": first})
+                yield pd.DataFrame({"id": part["id"].astype("Int64").to_numpy(), "mark": part["mark"], "n": n, "sig": sig, "low": count, "first": first})
 
-    read = rows.mapInPandas(sets, "id long, n int, sig binary, low int, first array<long>")
+    marked = rows.select("id", F.xxhash64("text").alias("mark"), "text")
+    read = marked.mapInPandas(sets, "id long, mark long, n int, sig binary, low int, first array<long>")
     # a stored number tells rows apart, also those that repeat an identifier or have none
     read = stash(read.withColumn("row", F.monotonically_increasing_id()), "sets")
-    classes = read.where("sig is not null").groupBy("sig").agg(F.min("row").alias("rep"), F.min("id").alias("least"))
+    classes = read.where("sig is not null").groupBy("sig").agg(F.min("row").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
     classes = stash(classes, "classes")
-    reps = read.drop("id").join(classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
+    reps = read.drop("id", "mark").join(classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
     grams = reps.select(F.col("row").alias("id"), "n", "low", F.posexplode("first").alias("pos", "gram"))
     grams = grams.withColumn("late", F.col("pos") >= F.col("low")).drop("pos")
     counts = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
@@ -111,11 +119,9 @@ def jaccard_components(
     facts = read.select("row", "id", "n", "sig")
     linked = connected_components(verify(rows, facts, pairs, groups, words, num, den))
 
-    of = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "least", F.coalesce("component", "rep").alias("component"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "component").select("sig", "component_id")
-    out = read.select("id", "n", "sig").join(of, "sig", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    of = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "first", F.coalesce("component", "rep").alias("component"))
+    first = of.groupBy("component").agg(F.min("first").alias("first"))
+    return read.select("id", "mark", "n", "sig"), of.drop("first").join(first, "component").select("sig", "first")
 
 
 def verify(rows: DataFrame, facts: DataFrame, pairs: DataFrame, groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -231,9 +237,20 @@ def _flat(block: list) -> tuple[list[int], np.ndarray, np.ndarray]:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a smaller identifier in their component; rows with null identifiers stay."""
-    gone = jaccard_components(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """docs with one row of each component: that of the smallest identifier, null last, and of its texts the one of the
+    smallest hash. Rows without shingles are their own components and stay."""
+    read, of = components(docs, id_col, text_col, WORDS, NUM, DEN)
+    read = read.where("sig is not null")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    gone = read.join(of, "sig").where(own != F.col("first")).select(F.col("id").alias("gone_id"), F.col("mark").alias("gone_mark"))
+    key, mark = docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    left = docs.join(gone, key.eqNullSafe(gone["gone_id"]) & (mark == gone["gone_mark"]), "left_anti")
+    # rows equal in identifier and text have one key; only where there are any are the texts dealt out for them
+    if not read.groupBy("id", "mark").count().where("count > 1").isEmpty():
+        blank = F.coalesce(docs[text_col], F.lit("")).rlike(r"\A[\x20\x09-\x0D]*\z")
+        nth = F.row_number().over(Window.partitionBy(key, mark).orderBy(F.lit(1)))
+        left = left.select("*", (blank | (nth == 1)).alias("__stays")).where("__stays")
+    return left.select(*docs.columns)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

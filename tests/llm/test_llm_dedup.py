@@ -95,6 +95,21 @@ def test_keep_one_of_each(hard):
     assert left.columns == hard.columns and left.where("doc_id between 100 and 125").count() < 26
 
 
+def test_keep_one_of_each_by_row(spark):
+    """Of each component one row stays, whatever identifiers repeat or are missing."""
+    base = [[f"{c}{k}" for k in range(60)] for c in "abcdef"]
+    near = lambda c, k: " ".join([*base[c][:-1], f"x{k}"])
+    texts = [(1, near(0, 0)), (7, near(0, 1)), (7, near(1, 0)), (7, "clean and not linked"), (8, near(1, 1))]  # one of id 7 is near an older one
+    texts += [(2, near(2, k)) for k in range(3)] + [(None, near(3, k)) for k in range(3)]  # near copies of one identifier
+    texts += [(None, near(4, 0)), (9, near(4, 1)), (3, near(5, 0)), (3, near(5, 0)), (4, ""), (4, ""), (4, None), (4, "\x85"), (4, "\x85"), (None, " \t"), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = Counter(tuple(r) for r in ngram_join.keep_one_of_each(df).collect())
+    of = lambda c: [r for r, n in got.items() if (r[1] or "").startswith("abcdef"[c] + "0 ") for _ in range(n)]
+    assert of(0) == [(1, near(0, 0))] and of(1) == [(7, near(1, 0))] and of(4) == [(9, near(4, 1))] and of(5) == [(3, near(5, 0))]
+    assert [i for i, _ in of(2)] == [2] and [i for i, _ in of(3)] == [None] and got[7, "clean and not linked"] == 1
+    assert got[4, ""] == 2 and got[4, None] == got[None, " \t"] == got[None, None] == 1 and got[4, "\x85"] == 1 and sum(got.values()) == 13
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
