@@ -8,9 +8,10 @@ back to the blocks, where the positions pick them. Only packed words, ids and po
 most once from a block, so a frequent word is no hot key.
 
 Decoding is a join of ids with the vocabulary's id-to-piece table, whose size the vocabulary bounds: `decode_ids` does it
-by rows, and the blocks use the same table. Without a decoder in the tokenizer file, pieces are joined by a space.
+by rows. op3_bpe does not call it: its blocks index an array of the same pieces. Without a decoder in the tokenizer file, pieces are joined by a space.
 
-Both scans must cut the same blocks, so docs must be read from storage; a check digest per block raises otherwise.
+Both scans must cut the same blocks, so docs must be read from storage; other numbers of buckets or words in a
+block raise. Blocks that differ with equal numbers are not noticed.
 
 Defined cases: a null or blank text has no ids, and its digests are of the empty string; repeated rows give repeated
 results; null identifiers stay; extra columns are not read; one very long text is a block of its own.
