@@ -12,13 +12,16 @@ def sha(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
 
-def test_exact_dedup(hard, hard_texts, none):
+@pytest.mark.parametrize("hot", [100, 2, 1])
+def test_exact_dedup(hard, hard_texts, none, monkeypatch, hot):
+    """Without hot texts, with some and with all texts hot the result is the same."""
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
     texts = [*hard_texts, (None, "no identifier at all")]
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = defaultdict(list)
     for i, t in texts:
         groups[norm(t)].append(i)
-    rows = exact_dedup.exact_duplicates(hard, salts=3).collect()
+    rows = exact_dedup.exact_duplicates(hard).collect()
     assert len(rows) == len(texts)
     want = {sha(n): (min((i for i in ids if i is not None), default=None), len(ids)) for n, ids in groups.items()}
     assert all((r.keep_id, r.group_size) == want[r.text_sha256] for r in rows)
@@ -26,7 +29,30 @@ def test_exact_dedup(hard, hard_texts, none):
     assert kept == Counter(dict.fromkeys(want, 1)) and all(r.doc_id == r.keep_id for r in rows if r.kept)
     left = exact_dedup.drop_exact_duplicates(hard)
     assert left.count() == len(groups) and left.columns == hard.columns
-    assert exact_dedup.exact_duplicates(none).count() == 0
+    assert Counter(norm(r.text) for r in left.collect()) == Counter(dict.fromkeys(groups, 1))
+    assert exact_dedup.exact_duplicates(none).count() == 0 and exact_dedup.drop_exact_duplicates(none).count() == 0
+
+
+def test_copies_are_found_by_their_neighbours(spark, hard, hard_texts, monkeypatch):
+    """Cold texts are whole after the sort; a hot one is cut into few runs, which the sort of their first rows joins."""
+    rows, salted = exact_dedup.content_sort(hard, "doc_id", "text")
+    groups = Counter(re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in [*hard_texts, (None, "no identifier at all")])
+    assert not salted and Counter({r.norm: r.size for r in rows.where("nth = 1").collect()}) == groups
+    monkeypatch.setattr(exact_dedup, "HOT", 50)
+    many = spark.createDataFrame([(k, "hot" if k % 3 == 0 else f"cold {k // 4}") for k in range(600)], "doc_id long, text string")
+    rows, salted = exact_dedup.content_sort(many, "doc_id", "text")
+    heads = rows.where("nth = 1").collect()
+    sizes = [r.size for r in heads if r.norm == "hot"]
+    assert salted and len(sizes) == 4 and sum(sizes) == 200 and max(sizes) < 60 and all(r.salt is None for r in heads if r.norm != "hot")
+    got = {(r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(many).where("doc_id % 3 = 0").collect()}
+    assert got == {(0, 200)} and exact_dedup.drop_exact_duplicates(many).where("text = 'hot'").collect() == many.limit(1).collect()
+
+
+def test_dedup_keeps_columns_with_any_name(spark):
+    names = ["__sha", "row", "norm", "hash", "salt", "head", "nth", "size", "start", "a.b"]
+    df = spark.createDataFrame([(1, "x", *names), (2, "x", *names)], ["doc_id", "text", *names])
+    left = exact_dedup.drop_exact_duplicates(df)
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(1, "x", *names)]
 
 
 def brute_components(texts, num=80, den=100):
