@@ -3,8 +3,9 @@
 Each URL becomes the expressions it may be listed under: host suffixes crossed with path prefixes, cut at the label
 counts and path lengths that occur among the rules, so nothing that could fit is left out and a very long URL costs no
 more than a short one. Expressions meet rules in an equi-join on a short hash prefix; the full digest then confirms, and
-the highest score wins. A score packs what precedence needs (length of the rule, of its host, block before allow) into
-one number, so the best rule of a URL is a plain max and the rule's text is cut out of the URL again.
+the highest score wins. Rules are grouped by their prefix, so the join is on the prefix alone and brings the digests that
+are to be compared. A score packs what precedence needs (length of the rule, of its host, block before allow) into one
+number, so the best rule of a URL is a plain max and the rule's text is cut out of the URL again.
 
 Precedence: longest rule (host and path together), then longer host, then block. Defined cases: null or a URL without
 `://` has an empty host and path and no rule; repeated rows give repeated results; a null page_id stays; rules with a
@@ -59,6 +60,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     )
     score = F.shiftleft(F.col("total"), 32) + F.shiftleft(F.col("host_len"), 1) + F.col("r_block")
     rules = rules.groupBy("r_digest").agg(F.max(score).alias("score")).withColumn("prefix", F.substring("r_digest", 1, 8))
+    # 4 bytes of a digest: two rules in a billion pairs share them, so these lists stay short
+    rules = rules.groupBy("prefix").agg(F.collect_list(F.struct("r_digest", "score")).alias("listed"))
 
     host, path = url_parts(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
@@ -79,8 +82,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         each = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
         rules = rules.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         keys = (each["prefix"] == rules["prefix"]) & (each["salt"] == rules["r_salt"])
-    hits = each.join(rules, keys & (each["digest"] == rules["r_digest"]), "left")
-    best = hits.groupBy("row", "id", "host", "path").agg(F.max("score").alias("score"))
+    hits = each.join(rules, keys, "left")
+    confirmed = F.array_max(F.transform(F.filter("listed", lambda x: x["r_digest"] == F.col("digest")), lambda x: x["score"]))
+    best = hits.groupBy("row", "id", "host", "path").agg(F.max(confirmed).alias("score"))
     total, host_len = F.shiftright("score", 32), F.shiftright(F.col("score").bitwiseAND(0xFFFFFFFF), 1)
     block = F.col("score").bitwiseAND(1) == 1
     rule = F.concat(F.expr("right(host, cast(host_len as int))"), F.expr("left(path, cast(total - host_len as int))"))
