@@ -79,6 +79,47 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return acc ^ (acc >> _R29)
 
 
+#: Rows of a key from which on it may count as a hub.
+HUB = 1000
+
+
+def hub_rows(spark: SparkSession, rows: int) -> int:
+    """Rows that a key must exceed to be a hub: of `rows` rows, at most four hubs for each partition do."""
+    return max(HUB, rows // (4 * partitions(spark)))
+
+
+def hubs(df: DataFrame, key: str) -> DataFrame | None:
+    """(key, ways): the keys that hold many rows of df (a stored table), and into how many parts theirs are to be cut."""
+    rows = df.count()
+    if rows <= HUB:
+        return None
+    most = hub_rows(df.sparkSession, rows)
+    held = df.groupBy(key).agg(F.count("*").alias("ways")).where(F.col("ways") > most)
+    return held.withColumn("ways", F.ceil(F.col("ways") / F.lit(most)))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], many: DataFrame | None) -> DataFrame:
+    """left join right on keys. The rows of hubs (the table of hubs(left, one of keys)) are cut into parts on the left, and
+    come once a part on the right, so that no key's rows have to meet in one task."""
+    if many is None:
+        return left.join(right, keys)
+    (key,) = (c for c in many.columns if c != "ways")
+    ways = F.coalesce("ways", F.lit(1))
+    cut = left.join(F.broadcast(many), key, "left").withColumn("part", F.pmod(F.xxhash64(*left.columns), ways)).drop("ways")
+    each = right.join(F.broadcast(many), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), ways - 1).cast("array<long>"))).drop("ways")
+    return cut.join(each, [*keys, "part"]).drop("part")
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """edges (u, v), a stored table, with m: the smallest v of each u. A hub's m is broadcast, so its edges stay spread."""
+    rows = edges.count()
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    if rows <= HUB:
+        return edges.join(low.drop("c"), "u")
+    hot = F.broadcast(low.where(F.col("c") > hub_rows(edges.sparkSession, rows)).drop("c"))
+    return edges.join(hot, "u").union(edges.join(hot.select("u"), "u", "left_anti").join(low.drop("c"), "u"))
+
+
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges, for each node that has an edge.
 
@@ -89,13 +130,10 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     e = stash(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     size, before = None, None
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stash(large.distinct(), "large")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            down.select("u", F.col("m").alias("v"))
+        both = with_least(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))).withColumn("m", F.least("u", "m"))
+        large = stash(both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        small = with_least(large).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+            large.groupBy("u").agg(F.min("v").alias("v"))
         )
         e = stash(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
         row = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first()

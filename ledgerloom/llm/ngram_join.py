@@ -4,14 +4,19 @@ Shingles are 64-bit hashes of runs of `words` words; their hash order is the glo
 vertical fragments. Documents with equal sets collapse into one class first, so copies cost nothing later.
 
 1. Candidates, without loss. Two sets with Jaccard t or more share one of their first n - ceil(t n) + 1 shingles in any
-   common order. The order used here puts the low fragments first (rarest shingle first, by counts over all classes),
-   then the others by hash; a class emits its low fragments and, where these are too few, as many more as its prefix
-   needs. Only shingles of its prefix that two classes hold give candidates: the pairs of fitting size where they are few,
-   and otherwise a star around the smallest, so a shingle of n classes gives n - 1 rows, not n squared.
-2. Verification. Pairs are compared where their owner is. Classes that the stars connect are dealt to pairs of bounded
-   blocks. In a task the overlap of two blocks is counted fragment by fragment as small matrix products and summed per
-   pair; what leaves the task is a spanning forest of the links found, never the pairs.
-3. Components of the links.
+   common order. The order used here puts the low fragment first (rarest shingle first, by counts over all classes), then
+   the others by hash; a class emits its low fragment and, where this is too short, as many more as its prefix needs. Only
+   shingles of its prefix that two classes hold give candidates: the pairs where they are few, and otherwise a star around
+   the smallest, so a shingle of n classes gives n - 1 rows, not n squared. What sizes and a bitmap rule out goes: each
+   class has BITS parities of its shingles, and two sets differ at least in as many shingles as their parities.
+2. Partial overlaps. The sets of the classes in pairs are cut into fragments; a pair's fragments meet by (class, fragment),
+   each gives a partial overlap (a, b, count), and the counts are summed per pair: the links.
+3. What the stars leave open. Classes that share a frequent shingle and are in one component by now need no further
+   comparison. The others give the pairs across components that sizes and bitmaps allow, counted as in 2. Groups of equal
+   members are joined once, and their rows are dealt to as many tasks as they need; only numbers and bitmaps are repeated.
+4. Components of all links.
+
+Keys with many rows (hubs) are cut into parts on joins, see common.spread_join.
 
 Defined cases: a null or blank text has an empty set, links with nothing and is its own component; fewer words than a
 shingle make one shingle of all of them; repeated rows are one class; a null identifier takes part in links and is never
@@ -20,7 +25,6 @@ the smallest of a component unless all are null; extra columns are not read; an
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, gram_hashes, partitions, stash, table
+from .common import WordHashes, connected_components, gram_hashes, hubs, spread_join, stash, table
 
 WORDS, NUM, DEN = 5, 80, 100
-#: Share of the global order that the low fragments hold.
-LOW = 0.26
-#: Shingles and classes of a block, which bound what a task holds, and fragments in which it counts.
-BLOCK_SHINGLES, BLOCK_CLASSES, FRAGMENT_SHINGLES = 400_000, 1500, 2048
-#: Classes that share a shingle, up to which they are compared pair by pair.
-FEW = 16
-#: Bits of the filter that thins out the texts read again for verification; beyond them it just lets more through.
-FILTER_BITS = 1 << 20
+#: Share of the global order that the low fragment holds, and fragments into which sets are cut to be compared.
+LOW, FRAGMENTS = 0.26, 8
+#: Classes that share a shingle, up to which they are compared pair by pair, and rows of such a group in a part.
+FEW, PART = 16, 2000
+#: Parities of a set's bitmap; beyond twice as many shingles it rules out little.
+BITS = 512
 
 
 def shingles(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
@@ -51,10 +53,22 @@ def shingles(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
     return np.unique(gram_hashes(hashes.of(words), k))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of BITS classes of hashes, whether the set has an odd number of them; packed."""
+    odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _words(text: str) -> list[bytes]:
     return text.encode().lower().split()  # bytes.lower changes A-Z only
 
 
+def may_link(num: int, den: int) -> str:
+    """Whether sizes (na, nb) and bitmaps (x, y) allow num/den: the sets differ in at most (den - num) / (den + num) of both."""
+    differ = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(BITS // 64))
+    return f"{den} * na >= {num} * nb and {den} * nb >= {num} * na and {den + num} * ({differ}) <= {den - num} * (na + nb)"
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN
 ) -> DataFrame:
@@ -67,7 +81,8 @@ def jaccard_components(
 def components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(id, mark, n, sig) of the rows, where mark is a hash of the text, and (sig, first) of the classes: the first
     (none, id, mark) of its component, null identifiers last."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     low_end = np.uint64(int(LOW * 2**64))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +90,7 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                n, sig, count, first = [], [], [], []
+                n, sig, count, first, bits = [], [], [], [], []
                 for text in part["text"]:
                     s = shingles(_words(text), hashes, words)
                     low = int(np.searchsorted(s, low_end))
@@ -85,15 +100,15 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     count.append(low)
                     first.append(emit.view(np.int64))
-                yield pd.DataFrame({"id": part["id"].astype("Int64").to_numpy(), "mark": part["mark"], "n": n, "sig": sig, "low": count, "first": first})
+                    bits.append(parities(s))
+                yield pd.DataFrame({"id": part["id"].astype("Int64").to_numpy(), "mark": part["mark"], "n": n, "sig": sig, "low": count, "first": first, "bits": bits})
 
-    marked = rows.select("id", F.xxhash64("text").alias("mark"), "text")
-    read = marked.mapInPandas(sets, "id long, mark long, n int, sig binary, low int, first array<long>")
+    read = rows.mapInPandas(sets, "id long, mark long, n int, sig binary, low int, first array<long>, bits array<long>")
     # a stored number tells rows apart, also those that repeat an identifier or have none
     read = stash(read.withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = read.where("sig is not null").groupBy("sig").agg(F.min("row").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
     classes = stash(classes, "classes")
-    reps = read.drop("id", "mark").join(classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
+    reps = read.select("row", "n", "low", "first").join(classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
     grams = reps.select(F.col("row").alias("id"), "n", "low", F.posexplode("first").alias("pos", "gram"))
     grams = grams.withColumn("late", F.col("pos") >= F.col("low")).drop("pos")
     counts = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
@@ -103,137 +118,75 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int
     order = of_class.orderBy("late", F.when(F.col("late"), F.lit(0)).otherwise(F.col("df")), "gram")
     n_prefix = F.expr(f"n - cast(ceil({num} * n / {den}D) as int) + 1")
     alone_low = F.col("low") - F.count(F.when(~F.col("late"), 1)).over(of_class)
-    shared = shared.select("id", "gram", "late", "low", n_prefix.alias("p"), F.row_number().over(order).alias("k"), alone_low.alias("alone"))
+    shared = shared.select("id", "n", "gram", "late", "low", n_prefix.alias("p"), F.row_number().over(order).alias("k"), alone_low.alias("alone"))
     # late shingles are only sent as far as the prefix reaches, so each of them is in it
-    prefix = stash(shared.where("late or k + alone <= p").select("id", "gram"), "prefix")
+    prefix = stash(shared.where("late or k + alone <= p").select("id", "n", "gram"), "prefix")
     many = stash(prefix.groupBy("gram").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1"), "many")
-    # a shingle of few classes gives their pairs, one of many a star that connects them for the comparison in blocks
-    sizes = reps.select(F.col("row").alias("id"), "n")
-    few = prefix.join(many.where(F.col("n") <= FEW).select("gram"), "gram").join(sizes, "id").select("gram", "id", "n")
+    # a shingle of few classes gives their pairs, one of many a star that connects them
+    few, stars = prefix.join(many.where(F.col("n") <= FEW).select("gram"), "gram"), many.where(F.col("n") > FEW)
     x, y = few.alias("x"), few.alias("y")
     fits = f"x.id < y.id and {den} * x.n >= {num} * y.n and {den} * y.n >= {num} * x.n"
-    pairs = stash(x.join(y, F.col("x.gram") == F.col("y.gram")).where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    stars = many.where(F.col("n") > FEW).select("gram", "center")
-    edges = prefix.join(stars, "gram").where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    groups = stash(connected_components(edges), "groups")
-    facts = read.select("row", "id", "n", "sig")
-    linked = connected_components(verify(rows, facts, pairs, groups, words, num, den))
+    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    members = stash(prefix.drop("n").join(stars.select("gram", "center", F.col("n").alias("held")), "gram"), "members")
+    pairs = stash(pairs.union(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"))).distinct(), "pairs")
+    facts = read.select("row", "n", "bits")
+    links = overlaps(rows, read, possible(pairs, facts, num, den), words, num, den)
+    linked = connected_components(links)
+    # groups of a frequent shingle that are not in one component yet
+    members = members.join(linked.withColumnRenamed("node", "id"), "id", "left").select("gram", "id", "held", F.coalesce("component", "id").alias("component"))
+    members = stash(members, "members")
+    groups = members.groupBy("gram", "held").agg(F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    groups = stash(groups.where("lo < hi").groupBy("held", "h1", "h2").agg(F.min("gram").alias("gram")).select("gram"), "open")
+    if not groups.isEmpty():
+        left = members.join(groups, "gram").join(facts.select(F.col("row").alias("id"), "n", "bits"), "id")
+        parts = F.ceil(F.col("held") / F.lit(PART)).cast("int")
+        one = left.select("gram", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("x"))
+        two = left.select("gram", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+        rest = one.join(two, ["gram", "part"]).where("a < b and ca <> cb").where(may_link(num, den)).select("a", "b", "na", "nb").distinct()
+        linked = connected_components(links.union(overlaps(rows, read, stash(rest, "rest"), words, num, den)))
 
     of = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "first", F.coalesce("component", "rep").alias("component"))
     first = of.groupBy("component").agg(F.min("first").alias("first"))
     return read.select("id", "mark", "n", "sig"), of.drop("first").join(first, "component").select("sig", "first")
 
 
-def verify(rows: DataFrame, facts: DataFrame, pairs: DataFrame, groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b): those among pairs (a, b), and a spanning forest of those among the classes of each group.
-
-    facts: (row, id, n, sig) of the classes. A class is compared with its partners in one task, of which it holds one at
-    a time; a group is cut into blocks, and each pair of blocks is a task.
-    """
-    spark = rows.sparkSession
-    partners = pairs.select(F.col("a").alias("component"), F.lit(1).alias("block"), F.col("b").alias("row"))
-    owners = pairs.select(F.col("a").alias("component"), F.lit(0).alias("block"), F.col("a").alias("row")).distinct()
-    of_pairs = partners.union(owners).select(F.lit(0).alias("kind"), "component", F.lit(0).alias("one"), F.lit(1).alias("two"), "block", "row")
-
-    load = groups.withColumnRenamed("node", "row").join(facts.select("row", "n"), "row")
-    enough = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_CLASSES)), F.lit(1))
-    blocks = load.groupBy("component").agg(enough.cast("int").alias("blocks"))
-    load = load.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    load = load.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    of_groups = load.select(F.lit(1).alias("kind"), "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "row")
-    tasks = stash(of_pairs.union(of_groups).join(facts.select("row", "id", "sig"), "row"), "tasks")
-
-    # texts that nothing is compared with are thinned out before the join
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    mask = tasks.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
-    mask = mask.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits"))  # at most FILTER_BITS / 32 rows
-    near = rows.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 5)).join(F.broadcast(mask), "word")
-    near = near.where("(shiftright(bits, cast(bit & 31 as int)) & 1) = 1").select(F.col("id").alias("text_id"), "text")
-    dealt = near.join(tasks, near["text_id"].eqNullSafe(tasks["id"])).select("kind", "component", "one", "two", "block", "row", "sig", "text")
-    keys = ["kind", "component", "one", "two"]
-    dealt = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "block")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def possible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, na, nb) of the pairs that sizes and bitmaps allow; facts: (row, n, bits)."""
+    one, two = (facts.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(z)) for k, z in (("a", "x"), ("b", "y")))
+    both = spread_join(spread_join(pairs, one, ["a"], hubs(pairs, "a")), two, ["b"], hubs(pairs, "b"))
+    return stash(both.where(may_link(num, den)).select("a", "b", "na", "nb"), "possible")
+
+
+def fragments(rows: DataFrame, read: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(row, fragment, grams) of the classes in needed (row): their texts are read again and cut."""
+    wanted = read.select("row", "id", "mark", "sig").join(needed, "row")
+    wanted = stash(wanted.select("row", F.col("id").alias("own"), F.col("mark").alias("hash"), "sig"), "wanted")
+    near = rows.join(wanted, rows["id"].eqNullSafe(wanted["own"]) & (rows["mark"] == wanted["hash"])).select("row", "sig", "text")
+    edges = np.array([k * 2**64 // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        stream = (row for batch in batches for row in batch.itertuples(index=False, name=None))
-        a, b = [], []
-        for (kind, _, one, two), same in itertools.groupby(stream, key=lambda r: r[:4]):
-            left, right, found = {}, {}, []
-            for *_, block, key, sig, text in same:
+        for batch in batches:
+            out = []
+            for row, sig, text in batch.itertuples(index=False, name=None):
                 s = shingles(_words(text), hashes, words)
-                if xxhash.xxh3_128_digest(s.tobytes()) != sig:  # another row of the same identifier
-                    continue
-                (left if block == one else right)[key] = s
-                if kind == 0 and right:  # the owner came first
-                    ((owner, mine),) = left.items()
-                    shared = len(np.intersect1d(mine, s, assume_unique=True))
-                    if den * shared >= num * (len(mine) + len(s) - shared):
-                        found.append((owner, key))
-                    right.clear()
-            if kind == 1:
-                found = forest([*left.items()], [*right.items()] if one != two else None, num, den)
-            for x, y in found:
-                a.append(x)
-                b.append(y)
-            if len(a) > 10_000:
-                yield pd.DataFrame({"a": a, "b": b})
-                a, b = [], []
-        yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return stash(dealt.mapInPandas(compare, "a long, b long"), "links")
-
-
-def forest(left: list, right: list | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between left and right (or within left) that span what is linked there."""
-    same = right is None
-    right = left if same else right
-    if not left or not right or same and len(left) < 2:
-        return []
-    (lk, ls, lo), (rk, rs, ro) = _flat(left), _flat(right)
-    if same:
-        values, times = np.unique(ls, return_counts=True)
-        both = values[times > 1]
-    else:
-        both = np.intersect1d(ls, rs)
-    (lp, lo), (rp, ro) = _places(both, ls, lo), _places(both, rs, ro)
-    overlap = np.zeros((len(left), len(right)), np.float32)  # counts up to 2^24 are exact
-    for start in range(0, len(both), FRAGMENT_SHINGLES):  # one vertical fragment
-        width = min(FRAGMENT_SHINGLES, len(both) - start)
-        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
-        for matrix, place, owner in ((x, lp, lo), (y, rp, ro)):
-            at = slice(*np.searchsorted(place, [start, start + width]))
-            matrix[owner[at], place[at] - start] = 1
-        overlap += x @ y.T
-    ln, rn = np.array([len(s) for _, s in left]), np.array([len(s) for _, s in right])
-    # trees so far, by the number of a node in left and then right
-    tree, shift, out = np.arange(len(left) if same else len(left) + len(right)), 0 if same else len(left), []
-    for i in range(len(left)):
-        shared = overlap[i].astype(np.int64)
-        linked = (shared > 0) & ((den + num) * shared >= num * (ln[i] + rn))
-        if same:
-            linked[: i + 1] = False
-        found = np.flatnonzero(linked)
-        for other, j in zip(*np.unique(tree[found + shift], return_index=True), strict=True):
-            if other != tree[i]:
-                tree[tree == other] = tree[i]
-                out.append((lk[i], rk[found[j]]))
-    return out
-
-
-def _places(both: np.ndarray, shingled: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in both, owner) of the shingles that are in both, by place."""
-    if not len(both):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    place = np.minimum(np.searchsorted(both, shingled), len(both) - 1)
-    held = both[place] == shingled
-    place, owner = place[held], owner[held]
-    order = np.argsort(place, kind="stable")
-    return place[order], owner[order]
-
-
-def _flat(block: list) -> tuple[list[int], np.ndarray, np.ndarray]:
-    sizes = [len(s) for _, s in block]
-    return [k for k, _ in block], np.concatenate([s for _, s in block]), np.repeat(np.arange(len(block)), sizes)
+                if xxhash.xxh3_128_digest(s.tobytes()) == sig:
+                    out += [(row, k, x.view(np.int64)) for k, x in enumerate(np.split(s, np.searchsorted(s, edges))) if len(x)]
+            yield pd.DataFrame(out, columns=["row", "fragment", "grams"])
+
+    # rows that repeat identifier and text all come up
+    return stash(near.mapInPandas(cut, "row long, fragment int, grams array<long>").dropDuplicates(["row", "fragment"]), "fragments")
+
+
+def overlaps(rows: DataFrame, read: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The links (a, b) among pairs (a, b, na, nb), a stored table: partial overlaps by fragment, summed per pair."""
+    cut = fragments(rows, read, pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), words)
+    one = cut.select(F.col("row").alias("a"), "fragment", F.col("grams").alias("x"))
+    two = cut.select(F.col("row").alias("b"), "fragment", F.col("grams").alias("y"))
+    both = spread_join(spread_join(pairs, one, ["a"], hubs(pairs, "a")), two, ["b", "fragment"], hubs(pairs, "b"))
+    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("shared"))
+    sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    return stash(sums.where(f"{den + num} * shared >= {num} * (na + nb)").select("a", "b"), "links")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from ledgerloom.llm import exact_dedup, ngram_join, substring_dedup
+from ledgerloom.llm import common, exact_dedup, ngram_join, substring_dedup
 from ledgerloom.llm.common import connected_components
 
 
@@ -79,37 +79,47 @@ def brute_components(texts, num=80, den=100):
     return Counter((i, len(sets[k]), least.get(find(k), i)) for k, (i, _) in enumerate(texts))
 
 
-@pytest.mark.parametrize(("few", "block"), [(16, 400_000), (2, 400_000), (2, 700)])
-def test_ngram_join(hard, hard_texts, monkeypatch, few, block):
-    """Pairs, groups in one block and groups in several blocks give the same."""
+@pytest.mark.parametrize(("few", "part", "bits", "hub"), [(16, 2000, 512, 1000), (2, 2000, 512, 3), (1, 5, 64, 3)])
+def test_ngram_join(hard, hard_texts, monkeypatch, few, part, bits, hub):
+    """Pairs and stars, groups in one part and in several, hubs and none give the same."""
     monkeypatch.setattr(ngram_join, "FEW", few)
-    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
-    monkeypatch.setattr(ngram_join, "FRAGMENT_SHINGLES", 64)
-    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block // 100)
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "BITS", bits)
+    monkeypatch.setattr(common, "HUB", hub)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(hard).collect())
     assert got == brute_components([*hard_texts, (None, "no identifier at all")])
 
 
-def test_forest_spans_the_links_of_two_blocks(monkeypatch):
+def test_stars_leave_open_what_pairs_then_join(spark, monkeypatch):
+    """A common passage with many endings: the star's center links with few of them, others with each other."""
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    common_words = [f"p{k}" for k in range(60)]
+    texts = [(k, " ".join(common_words + [f"e{k % 7}x{j}" for j in range(30)] + [f"u{k}"])) for k in range(40)] + [(50 + k, " ".join(common_words[: 50 + k])) for k in range(10)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect())
+    assert got == brute_components(texts) and len({c for _, _, c in got}) == 8
+
+
+def test_bitmaps_rule_out_no_link():
     import numpy as np
 
-    monkeypatch.setattr(ngram_join, "FRAGMENT_SHINGLES", 16)
-    rng = np.random.default_rng(1)
-    sets = [(k, np.unique(rng.integers(k % 3 * 30, k % 3 * 30 + 30, 60)).astype(np.uint64)) for k in range(60)]
-    for left, right in ((sets, None), (sets[:25], sets[25:]), (sets[:1], None), ([], sets)):
-        pairs = [(a, b) for a in left for b in (right or left) if a[0] != b[0]]
-        links = [(a[0], b[0]) for a, b in pairs if 100 * len(np.intersect1d(a[1], b[1])) >= 80 * len(np.union1d(a[1], b[1]))]
-        got = ngram_join.forest(left, right, 80, 100)
-        assert {*got} <= {*links} | {(b, a) for a, b in links}
-
-        def groups(edges):
-            of = {k: {k} for k, _ in sets}
-            for a, b in edges:
-                both = of[a] | of[b]
-                of.update(dict.fromkeys(both, both))
-            return {frozenset(x) for x in of.values()}
-
-        assert groups(got) == groups(links) and len(got) == 60 - len(groups(links))
+    rng = np.random.default_rng(3)
+    for n in (3, 40, 700, 3000):
+        base = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        for gone in range(1 + n // 9):
+            other = np.unique(np.r_[base[gone:], rng.integers(0, 2**64, gone // 2, np.uint64)])
+            shared = len(np.intersect1d(base, other))
+            differ = sum(int(x).bit_count() for x in np.bitwise_xor(ngram_join.parities(base), ngram_join.parities(other)).view(np.uint64))
+            assert 180 * differ <= 20 * (len(base) + len(other)) or 100 * shared < 80 * (len(base) + len(other) - shared)
+
+
+def test_joins_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB", 10)
+    left = spark.createDataFrame([(k % 50 if k % 2 else 0, k) for k in range(400)], "key long, v long")
+    right = spark.createDataFrame([(k, k * 7, j) for k in range(30) for j in range(2)], "key long, w long, j long")
+    many = common.hubs(left, "key")
+    assert [r["key"] for r in many.collect()] == [0] and many.first().ways > 10
+    assert sorted(common.spread_join(left, right, ["key"], many).collect()) == sorted(left.join(right, "key").collect())
 
 
 def test_ngram_join_of_nothing(none):
