@@ -1,17 +1,16 @@
 """BPE encoding and decoding (operator 3).
 
-Distinct-word table: documents are split at ASCII white space, at which this vocabulary always ends a word, so a word is
-encoded alike wherever it stands. A block is a run of documents of one scan task, bounded by bytes; its documents become
-arrays of positions in the block's word list. The word lists are cut by a hash of the word into buckets, which are sorted
-and packed, so that equal words of all blocks meet in one task, each distinct word is encoded once there, and the ids go
-back to the blocks, where the positions pick them. Only packed words, ids and positions are shuffled, and a word comes at
-most once from a block, so a frequent word is no hot key.
+Distinct-word table: Spark splits the texts at ASCII white space, at which this vocabulary always ends a word, so a word
+is encoded alike wherever it stands. The distinct words are encoded once each and written as a table of words; its ids
+meet their pieces in a join with the vocabulary's id-to-piece table, whose size the vocabulary bounds, which gives what
+each word decodes to.
 
-Decoding is a join of ids with the vocabulary's id-to-piece table, whose size the vocabulary bounds: `decode_ids` does it
-by rows. op3_bpe does not call it: its blocks index an array of the same pieces. Without a decoder in the tokenizer file, pieces are joined by a space.
+Ids are joined back by position. A block is a run of documents of one scan task, bounded by bytes; the documents of a
+block become arrays of positions in the list of its distinct words. Both are written in one pass. The words of the blocks
+join the word table by word: a word comes at most once from a block, so a frequent word is no hot key. Then positions and
+encoded words of a block meet, and the positions pick the ids.
 
-Both scans must cut the same blocks, so docs must be read from storage; other numbers of buckets or words in a
-block raise. Blocks that differ with equal numbers are not noticed.
+Without a decoder in the tokenizer file, pieces are joined by a space, and so are the words' decoded texts.
 
 Defined cases: a null or blank text has no ids, and its digests are of the empty string; repeated rows give repeated
 results; null identifiers stay; extra columns are not read; one very long text is a block of its own.
@@ -20,24 +19,22 @@ results; null identifiers stay; extra columns are not read; one very long text i
 from __future__ import annotations
 
 import hashlib
-import itertools
 import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
-import zstandard
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import SPACES, partitions, stash, table
 
-BLOCK_BYTES = 16_000_000
-#: Words that a worker remembers, and documents whose positions are packed together.
-MOST_WORDS, PACKED = 1_000_000, 200
+#: Bytes of the words of a block, and distinct words that are encoded in one call.
+BLOCK_BYTES, CALL = 16_000_000, 10_000
 
 
 @lru_cache(2)
@@ -51,166 +48,129 @@ def tokenizer_of(path: str):
     return tokenizer
 
 
-@lru_cache(2)
-def pieces_of(path: str) -> np.ndarray:
-    """The id-to-piece table."""
-    tokenizer = tokenizer_of(path)
-    out = np.empty(tokenizer.get_vocab_size(with_added_tokens=True), object)
-    for piece, k in tokenizer.get_vocab(with_added_tokens=True).items():
-        out[k] = piece
-    return out
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(token, piece) of the whole vocabulary."""
+    vocabulary = tokenizer_of(path).get_vocab(with_added_tokens=True)
+    return spark.createDataFrame(pd.DataFrame({"token": np.array(list(vocabulary.values()), np.int32), "piece": list(vocabulary)}))
 
 
-class Block:
-    """Positions of words in the order in which a run of documents brings them up."""
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
-    def __init__(self, number: int):
-        self.id, self.bytes, self.words, self.docs = (TaskContext.get().partitionId() << 32) + number, 0, {}, []
 
-    def add(self, key: int, text: str) -> None:
-        words = (raw := text.encode()).split()
-        known = self.words
-        for word in dict.fromkeys(words):
-            known.setdefault(word, len(known))
-        self.docs.append((key, np.fromiter(map(known.__getitem__, words), np.uint32, len(words))))
-        self.bytes += len(raw)
+def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
+    """(word, ids) of each distinct word of words (word), encoded once."""
 
-    def dealt(self, buckets: int) -> tuple[np.ndarray, list[tuple[int, list[bytes]]]]:
-        """Places of the words when sorted by (bucket, word), and the words of each bucket."""
-        words = list(self.words)
-        bucket = [xxhash.xxh3_64_intdigest(w) % buckets for w in words]
-        order = sorted(range(len(words)), key=list(zip(bucket, words, strict=True)).__getitem__)
-        place = np.empty(len(words), np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
-        return place, [(b, [words[k] for k in same]) for b, same in itertools.groupby(order, key=bucket.__getitem__)]
+    def encode_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = tokenizer_of(tokenizer)
+        for batch in batches:
+            for at in range(0, len(batch), CALL):
+                part = batch["word"].iloc[at : at + CALL]
+                yield pd.DataFrame({"word": part, "ids": [np.array(x.ids, np.int32) for x in own.encode_batch_fast(part.tolist(), add_special_tokens=False)]})
 
-    def check(self) -> int:
-        return xxhash.xxh3_64_intdigest(b" ".join(self.words)) >> 1
+    return words.select("word").distinct().mapInPandas(encode_all, "word string, ids array<int>")
 
 
-def squeezed(numbers: np.ndarray, pack) -> bytes:
-    """32-bit numbers, byte by byte in planes, of which the high ones are nearly empty."""
-    return pack(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def word_table(docs: DataFrame, tokenizer: str, text_col: str) -> DataFrame:
+    """(word, ids, decoded) of the distinct words, as a stored table."""
+    words = encoded_words(docs.select(F.explode(words_of(F.col(text_col))).alias("word")), tokenizer)
+    words = stash(words, "words")
+    return words.join(decode_ids(words, tokenizer, "word"), "word")
 
 
-def unsqueezed(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+class Block:
+    """A run of documents: their words as positions in the list of its distinct words."""
 
+    def __init__(self, number: int):
+        self.id, self.bytes, self.keys, self.lists = (TaskContext.get().partitionId() << 32) + number, 0, [], []
 
-def blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[Block]:
-    block = Block(0)
-    for batch in batches:
-        for key, text in zip(batch["id"].astype("Int64"), batch["text"], strict=True):
-            if block.docs and block.bytes >= most:
-                yield block
-                block = Block((block.id & 0xFFFFFFFF) + 1)
-            block.add(key, text)
-    if block.docs:
-        yield block
+    def add(self, batch: pa.RecordBatch, size: int) -> None:
+        self.keys.append(batch.column(0))
+        self.lists.append(batch.column(1))
+        self.bytes += size
 
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays([x.flatten() for x in self.lists]).dictionary_encode()
+        ends = np.cumsum([0, *(n for x in self.lists for n in pc.list_value_length(x).to_pylist())], dtype=np.int64)
+        places = pa.LargeListArray.from_arrays(pa.array(ends), coded.indices).cast(pa.list_(pa.int32()))
+        n = len(places)
+        yield pa.record_batch([pa.array([self.id] * n, pa.int64()), pa.concat_arrays(self.keys), places, pa.nulls(n, pa.list_(pa.string()))], BLOCK_NAMES)
+        yield pa.record_batch([pa.array([self.id], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string()))], BLOCK_NAMES)
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, id, positions) joined with the encoded word lists: per document its ids. See encoded_blocks for the rows."""
-    return assembled(docs, tokenizer, id_col, text_col, block_bytes, whole_ids, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
+BLOCK_NAMES = ["block", "id", "places", "words"]
 
-def assembled(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, block_bytes: int, finish, schema: str) -> DataFrame:
-    """finish(keys, places of each document's words, ids of all words in order of place, how many each has, tokenizer) gives
-    the rows of a block's documents."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    buckets = 4 * n
-
-    def split_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for block in blocks(batches, block_bytes):
-            own = block.dealt(buckets)[1]
-            yield pd.DataFrame({"block": block.id, "bucket": [b for b, _ in own], "packed": [pack(b" ".join(w)) for _, w in own]})
-
-    def encode_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, kind, known = tokenizer_of(tokenizer), width(tokenizer), {}
-        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+
+def blocks(rows: DataFrame, most: int) -> DataFrame:
+    """(block, id, places) of each document and one row (block, words) of each block, as a stored table; rows: (id, list)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(0)
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
-                lists = [unpack(x).split(b" ") for x in part["packed"]]
-                if len(known) > MOST_WORDS:
-                    known.clear()
-                new = [w for w in set().union(*lists) if w not in known]
-                for word, got in zip(new, own.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    known[word] = np.array(got.ids, kind).tobytes()
-                out = []
-                for words in lists:
-                    ids = [known[w] for w in words]
-                    sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // np.dtype(kind).itemsize
-                    out.append((squeezed(sizes, pack), pack(b"".join(ids))))
-                yield pd.DataFrame({"block": part["block"].to_numpy(), "bucket": part["bucket"].to_numpy(), "sizes": [x for x, _ in out], "ids": [y for _, y in out]})
-
-    def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for block in blocks(batches, block_bytes):
-            place, own = block.dealt(buckets)
-            # the first row: how many buckets there are, and the places of the words in the order of their numbers
-            yield pd.DataFrame({"block": [block.id], "buckets": [len(own)], "ids": [[]], "lengths": [pack(b"")], "packed": [squeezed(place, pack)]})
-            for at in range(0, len(block.docs), PACKED):
-                part = block.docs[at : at + PACKED]
-                lengths = np.array([len(x) for _, x in part])
-                yield pd.DataFrame({"block": [block.id], "buckets": [-1], "ids": [[None if k is pd.NA else int(k) for k, _ in part]], "lengths": [squeezed(lengths, pack)], "packed": [squeezed(np.concatenate([x for _, x in part]), pack)]})
-
-    table_ = rows.mapInPandas(split_words, "block long, bucket int, packed binary").repartition(n, "bucket")
-    table_ = table_.mapInPandas(encode_words, "block long, bucket int, sizes binary, ids binary")
-    docs_ = rows.mapInPandas(positions, "block long, buckets int, ids array<long>, lengths binary, packed binary")
+            counts = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            chars = np.r_[0, np.cumsum(pc.binary_length(batch.column(1).flatten()).to_numpy(zero_copy_only=False).astype(np.int64))]
+            # bytes of the rows up to each; a word's place has 4 bytes
+            upto = np.r_[0, chars[np.cumsum(counts)] + 4 * np.cumsum(counts)] if len(counts) else np.zeros(1, np.int64)
+            at = 0
+            while at < len(counts):
+                # as many rows as there is room for, at least one
+                end = max(at + 1, int(np.searchsorted(upto, upto[at] + most - block.bytes, "right")) - 1)
+                block.add(batch.slice(at, end - at), int(upto[end] - upto[at]))
+                at = end
+                if block.bytes >= most or at < len(counts):
+                    yield from block.rows()
+                    block = Block((block.id & 0xFFFFFFFF) + 1)
+        if block.keys:
+            yield from block.rows()
+
+    return stash(rows.mapInArrow(cut, "block long, id long, places array<int>, words array<string>"), "blocks")
+
+
+def assembled(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, block_bytes: int, finish, schema: str) -> DataFrame:
+    """finish(identifiers, places of each document's words, encoded words by place: ids and decoded) gives a block's rows."""
+    n = partitions(docs.sparkSession)
+    known = word_table(docs, tokenizer, text_col)
+    cut = blocks(docs.select(F.col(id_col).cast("long").alias("id"), words_of(F.col(text_col)).alias("list")), block_bytes)
+    listed = cut.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
+    coded = listed.join(known, "word").select("block", "place", "ids", "decoded")
 
     def join_back(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor().decompress
-        head = left[left["buckets"] >= 0]
-        place = unsqueezed(unpack(head["packed"].iloc[0])) if len(head) == 1 else np.empty(0, np.uint32)
-        right = right.sort_values("bucket")
-        sizes = np.concatenate([np.empty(0, np.uint32), *(unsqueezed(unpack(x)) for x in right["sizes"])]).astype(np.int64)
-        if len(head) != 1 or head["buckets"].iloc[0] != len(right) or len(place) != len(sizes):
-            raise ValueError("the two scans cut different blocks: write docs to storage first")
-        flat = np.frombuffer(b"".join([unpack(x) for x in right["ids"]]), width(tokenizer))
-        keys, found = [], []
-        for ids, lengths, packed in left.loc[left["buckets"] < 0, ["ids", "lengths", "packed"]].itertuples(index=False, name=None):
-            keys += [None if x is None or x != x else int(x) for x in ids]
-            found += np.split(place[unsqueezed(unpack(packed))], np.cumsum(unsqueezed(unpack(lengths)))[:-1])
-        return finish(pd.array(keys, "Int64"), found, flat, sizes, tokenizer)
+        right = right.sort_values("place")
+        return finish(left["id"].astype("Int64"), left["places"].tolist(), right["ids"].tolist(), right["decoded"].tolist())
+
+    dealt = cut.where("words is null").select(F.col("block").alias("of_block"), "id", "places").repartition(n, "of_block").groupBy("of_block")
+    return dealt.cogroup(coded.groupBy("block")).applyInPandas(join_back, schema)
 
-    return docs_.groupBy("block").cogroup(table_.groupBy("block")).applyInPandas(join_back, schema)
 
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id_col and the ids of each document's whole text."""
+
+    def whole(keys: pd.Series, places: list, ids: list, decoded: list) -> pd.DataFrame:
+        return pd.DataFrame({"id": keys, "ids": [np.concatenate([ids[k] for k in x.tolist()]) if len(x) else np.empty(0, np.int32) for x in places]})
 
-def width(tokenizer: str) -> str:
-    return "<u2" if tokenizer_of(tokenizer).get_vocab_size() < 65536 else "<u4"
+    return assembled(docs, tokenizer, id_col, text_col, block_bytes, whole, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def whole_ids(keys: pd.Series, found: list[np.ndarray], flat: np.ndarray, sizes: np.ndarray, tokenizer: str) -> pd.DataFrame:
-    ids = [x.tobytes() for x in np.split(flat, np.cumsum(sizes)[:-1])] if len(sizes) else []
-    return pd.DataFrame({"id": keys, "ids": [np.frombuffer(b"".join([ids[k] for k in x.tolist()]), flat.dtype).astype(np.int32) for x in found]})
+def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id_col, n_tokens, the digest of the ids, the digest of the text decoded from them."""
 
+    def digest(keys: pd.Series, places: list, ids: list, decoded: list) -> pd.DataFrame:
+        sizes = np.array([len(x) for x in ids], np.int64)
+        names = np.array([" ".join(map(str, x.tolist())) for x in ids], object)
+        texts = np.array(decoded, object)
+        bare = not sizes.all()  # a word may have no ids; it then leaves no space either
+        sha = lambda table, x: hashlib.sha256(" ".join(table[x[sizes[x] > 0] if bare else x].tolist()).encode()).hexdigest()
+        return pd.DataFrame({"id": keys, "n_tokens": [int(sizes[x].sum()) for x in places], "ids_sha256": [sha(names, x) for x in places], "decoded_sha256": [sha(texts, x) for x in places]})
 
-def digests(keys: pd.Series, found: list[np.ndarray], flat: np.ndarray, sizes: np.ndarray, tokenizer: str) -> pd.DataFrame:
-    """n_tokens, the digest of the ids, the digest of the text decoded from them."""
-    pieces, ends = pieces_of(tokenizer), np.cumsum(sizes)
-    numbers = np.array([str(k) for k in range(len(pieces))], object)
-    names, parts = numbers[flat].tolist(), pieces[flat].tolist()
-    ids_text, decoded = np.empty(len(sizes), object), np.empty(len(sizes), object)
-    for k, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
-        ids_text[k], decoded[k] = " ".join(names[a:b]), " ".join(parts[a:b])
-    sha = lambda table, x: hashlib.sha256(" ".join([t for t in table[x].tolist() if t]).encode()).hexdigest()
-    return pd.DataFrame({"id": keys, "n_tokens": [int(sizes[x].sum()) for x in found], "ids_sha256": [sha(ids_text, x) for x in found], "decoded_sha256": [sha(decoded, x) for x in found]})
+    return assembled(docs, tokenizer, id_col, text_col, block_bytes, digest, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, decoded) of rows of ids, by a join with the id-to-piece table. The row of ids is the unit and must fit a task."""
-    spark = encoded.sparkSession
-    pieces = pieces_of(tokenizer)
-    vocabulary = spark.createDataFrame(pd.DataFrame({"token": np.arange(len(pieces), dtype=np.int32), "piece": pieces}))
     # numbered before rows are spread, so that rows with one identifier stay apart
     rows = encoded.select(F.col(id_col).alias("key"), F.col(ids_col).alias("ids")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("row", "key", F.posexplode_outer("ids").alias("at", "token"))
-    joined = rows.join(F.broadcast(vocabulary), "token", "left").groupBy("row", "key")
+    joined = rows.join(F.broadcast(piece_table(encoded.sparkSession, tokenizer)), "token", "left").groupBy("row", "key")
     parts = joined.agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece")))).alias("parts"))
     return parts.select(F.col("key").alias(id_col), F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("decoded"))
 
@@ -218,6 +178,4 @@ def decode_ids(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_c
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return assembled(table(spark, sf_dir, "documents"), path, "doc_id", "text", BLOCK_BYTES, digests, schema).withColumnRenamed("id", "doc_id")
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

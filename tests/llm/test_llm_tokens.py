@@ -25,6 +25,25 @@ def test_encode_and_decode(hard, hard_texts, none, tmp_path):
     decoded = Counter((r.doc_id, r.decoded) for r in bpe.decode_ids(got, WORD).collect())
     assert decoded == Counter((i, own.decode(list(ids), skip_special_tokens=False)) for i, ids in want.elements())
     assert bpe.encode(none, WORD).count() == 0
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = Counter((i, len(ids), sha(" ".join(map(str, ids))), sha(own.decode(list(ids), skip_special_tokens=False))) for i, ids in want.elements())
+    assert Counter(map(tuple, bpe.digests(docs, WORD, block_bytes=4000).collect())) == want
+
+
+def test_op3_bpe_gives_what_the_library_gives(spark, small):
+    own = bpe.tokenizer_of(WORD)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        ids = own.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), sha(" ".join(map(str, ids))), sha(own.decode(ids, skip_special_tokens=False)))
+    got = bpe.op3_bpe(spark, small).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+
+
+def test_each_distinct_word_is_encoded_once(hard):
+    words = bpe.word_table(hard, WORD, "text")
+    assert words.count() == words.select("word").distinct().count() == hard.selectExpr("explode(array_remove(split(coalesce(text, ''), '[ \\t-\\r]+'), '')) as w").distinct().count()
 
 
 @settings(max_examples=200, deadline=None)
