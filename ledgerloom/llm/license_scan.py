@@ -1,12 +1,15 @@
 """License scans (operator 9): conditional compression.
 
-A document's candidates are stretches of words around each word of the templates' trade; they run across line breaks and
-sentence ends, and stretches that overlap are one. In each, a template is compared by wording with every run of words, free
-to begin and end anywhere: the words that must be removed from and added to the template to give the run (case, punctuation
-and spacing aside), zero for an exact quotation, at most `MOST_CHANGED` of the template's words for a match. For each end
-the cheapest run counts, the shortest among equals, if it holds a word of the trade; so the cut into stretches loses nothing.
-Each run is compressed alone and with the template as a zstandard raw dictionary, and how much smaller the template makes
-it, as a share of the run's size or the template's, whichever is smaller, must reach `LEAST`.
+Candidate blocks are stretches of words in which a template's own words are dense enough: a run that differs from a template
+in at most `MOST_CHANGED` of its words holds the others of them within a bounded number of words, so no match lies outside.
+There is no list of telling words: what is sought follows from the templates that are given. Blocks run across line breaks
+and sentence ends.
+
+In a block, every run of words that could be the template, free to begin and end anywhere, is compressed alone and with
+the template as a zstandard raw dictionary; how much smaller the template makes it, as a share of the run's size or the
+template's, whichever is smaller, must reach `LEAST`. Winners are confirmed by exact wording differences: the words that
+must be removed from and added to the template to give the run (case, punctuation and spacing aside), zero for an exact
+quotation. For each end the cheapest run counts, the shortest among equals. Every template that reaches `LEAST` is confirmed.
 
 Of runs that overlap, the one that has most words of its template, less those added, wins, then the larger reduction.
 Words of the same sentence that stand in place of the template's missing first or last ones are shown and counted as added,
@@ -15,7 +18,7 @@ as far as the run stays a match.
 Templates come in few lines and are part of the task; nothing is shuffled.
 
 Defined cases: null and empty texts have no rows; repeated rows give repeated results; a null identifier stays; among
-equal runs the first template in byte order wins; extra columns are not read.
+equal runs the first template in byte order wins; a template without words matches nothing; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -47,17 +50,14 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
-#: Every template holds one of these, in any case.
-TRADE = ["licen[cs]e", "permission", "redistribut", r"free[\W_]+software"]
 LEAST, MOST_CHANGED = 0.3, 0.3
 
-_trade = re.compile("|".join(TRADE), re.I)
 _end = re.compile(r"(?<=[.!?:])\s+|\n+")
 _word = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
 
 def wording(text: str) -> list[str]:
-    return _word.findall(text.lower())
+    return [*map(str.lower, _word.findall(text))]
 
 
 def changed(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +81,14 @@ def changed(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]]):
-        self.templates = sorted(templates)
+        self.templates = sorted(t for t in templates if wording(t[1]))
         self.words = [wording(t) for _, t in self.templates]
         self.limits = [int(MOST_CHANGED * len(w)) for w in self.words]
-        self.reach = max(len(w) + most for w, most in zip(self.words, self.limits, strict=True))
+        # the templates that have a word
+        self.of = {}
+        for k, own in enumerate(self.words):
+            for w in dict.fromkeys(own):
+                self.of.setdefault(w, []).append(k)
         self.alone = zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
         raws = [" ".join(w).encode() for w in self.words]
         self.given = [
@@ -93,35 +97,40 @@ class Scanner:
         ]
         self.sizes = [len(self.alone.compress(raw)) for raw in raws]
 
-    def blocks(self, text: str) -> Iterator[tuple[int, str, int]]:
-        """(start, sentence or line, end) of each that holds a word of the trade."""
-        at = 0
-        for cut in [*_end.finditer(text), None]:
-            end = cut.start() if cut else len(text)
-            if _trade.search(text, at, end):
-                yield at, text[at:end], end
-            at = cut.end() if cut else end
+    def blocks(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(template, first word, end) of the stretches that may hold a match of a template."""
+        held: dict[int, list[int]] = {}
+        for at in [j for j, w in enumerate(words) if w in self.of]:
+            for k in self.of[words[at]]:
+                held.setdefault(k, []).append(at)
+        for k, places in held.items():
+            need, reach = len(self.words[k]) - self.limits[k], len(self.words[k]) + self.limits[k]
+            if len(places) < need:
+                continue
+            at = np.array(places)
+            # places from which `need` of the template's words follow within `reach` words
+            first = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < reach)
+            # a run of at most `reach` words that holds them
+            low, high = np.maximum(at[first + need - 1] - reach + 1, 0), np.minimum(at[first] + reach, len(words))
+            for part in np.split(np.arange(len(first)), np.flatnonzero(low[1:] > np.maximum.accumulate(high)[:-1]) + 1):
+                if len(part):
+                    yield k, int(low[part[0]]), int(high[part].max())
 
     def reduction(self, k: int, words: list[str]) -> float:
         raw = " ".join(words).encode()
         size = len(self.alone.compress(raw))
         return (size - len(self.given[k].compress(raw))) / min(size, self.sizes[k])
 
-    def runs(self, words: list[str], hits: list[int]) -> list[tuple[int, int, int, float, int]]:
-        """(first word, end, template, reduction, changed words) of the matches of a stretch that has hits at these words."""
-        held, found = set(words), []
-        before = np.zeros(len(words) + 1, np.int64)
-        np.add.at(before, np.array(hits) + 1, 1)
-        before = before.cumsum()
-        for k, (own, most) in enumerate(zip(self.words, self.limits, strict=True)):
-            if sum(w not in held for w in own) > most:
-                continue
-            cost, start = changed(own, words)
-            for end in np.flatnonzero((cost <= most) & (before > before[start])).tolist():
+    def runs(self, words: list[str]) -> list[tuple[int, int, int, float, int]]:
+        """(first word, end, template, reduction, changed words) of the matches in words."""
+        found = []
+        for k, low, high in self.blocks(words):
+            cost, start = changed(self.words[k], words[low:high])
+            for end in np.flatnonzero((cost <= self.limits[k]) & (start < np.arange(len(cost)))).tolist():
                 at, n = int(start[end]), int(cost[end])
-                reduction = self.reduction(k, words[at:end])
+                reduction = self.reduction(k, words[low + at : low + end])
                 if reduction >= LEAST:
-                    found.append((n - len(own), -reduction, k, at, end, n))
+                    found.append((n - len(self.words[k]), -reduction, k, low + at, low + end, n))
         out, taken = [], np.zeros(len(words), bool)
         for _, reduction, k, at, end, n in sorted(found):
             if not taken[at:end].any():
@@ -131,39 +140,30 @@ class Scanner:
 
     def scan(self, text: str) -> Iterator[tuple[int, str, int, float, int]]:
         """(start, block, template, reduction, changed words) of each notice."""
-        if not _trade.search(text):
+        words = wording(text)
+        found = self.runs(words) if any(w in self.of for w in words) else []
+        if not found:
             return
         places = [m.span() for m in _word.finditer(text)]
-        starts = [x for x, _ in places]
-        words = [text[x:y].lower() for x, y in places]
-        sentences = [(at, end) for at, _, end in self.blocks(text)]
-        hits = sorted({bisect_right(starts, m.start()) - 1 for m in _trade.finditer(text)})
-        done = 0
-        while done < len(hits):
-            first = done
-            while done + 1 < len(hits) and hits[done + 1] - hits[done] <= 2 * self.reach:
-                done += 1
-            done += 1
-            low, high = max(0, hits[first] - self.reach), hits[done - 1] + self.reach + 1
-            found = self.runs(words[low:high], [h - low for h in hits[first:done]])
-            for i, (at, end, k, reduction, n) in enumerate(found):
-                at, end, own = at + low, end + low, self.words[k]
-                free = (found[i - 1][1] + low if i else low, found[i + 1][0] + low if i + 1 < len(found) else min(high, len(words)))
-                for back in (False, True):
-                    # the sentence that the run ends in, and then the one that it starts in
-                    s = bisect_right(sentences, (starts[at if back else end - 1], len(text))) - 1
-                    left, right = sentences[s] if s >= 0 else (0, 0)
-                    if (words[at] if back else words[end - 1]) == (own[0] if back else own[-1]):
-                        continue
-                    while end - at < len(own) and n < self.limits[k]:
-                        if back and at > free[0] and starts[at - 1] >= left and starts[at] < right:
-                            at -= 1
-                        elif not back and end < free[1] and starts[end] < right:
-                            end += 1
-                        else:
-                            break
-                        n += 1
-                yield starts[at], text[starts[at] : places[end - 1][1]], k, reduction, n
+        starts, ends = [x for x, _ in places], [0, *(cut.end() for cut in _end.finditer(text))]
+        sentences = [(a, b) for a, b in zip(ends, [*ends[1:], len(text)], strict=True)]
+        for i, (at, end, k, reduction, n) in enumerate(found):
+            own = self.words[k]
+            free = (found[i - 1][1] if i else 0, found[i + 1][0] if i + 1 < len(found) else len(words))
+            for back in (False, True):
+                # the sentence that the run ends in, and then the one that it starts in
+                left, right = sentences[bisect_right(sentences, (starts[at if back else end - 1], len(text))) - 1]
+                if (words[at] if back else words[end - 1]) == (own[0] if back else own[-1]):
+                    continue
+                while end - at < len(own) and n < self.limits[k]:
+                    if back and at > free[0] and starts[at - 1] >= left:
+                        at -= 1
+                    elif not back and end < free[1] and starts[end] < right:
+                        end += 1
+                    else:
+                        break
+                    n += 1
+            yield starts[at], text[starts[at] : places[end - 1][1]], k, reduction, n
 
 
 @lru_cache(2)

@@ -106,22 +106,43 @@ def test_licenses(spark, hard, none):
 
 
 def test_licenses_against_every_template(spark, small):
-    """Compression ranks what a comparison with every template by words would choose."""
+    """Every exact quotation anywhere in a text is found, whichever way it is wrapped."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    got = Counter((r.doc_id, r.license) for r in license_scan.scan_licenses(docs).where("exact").collect())
-    want = Counter()
-    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    got = Counter((r.doc_id, r.wording) for r in license_scan.scan_licenses(docs).where("exact").collect())
+    scanner, want = license_scan.Scanner(license_scan.TEMPLATES), Counter()
     for r in docs.collect():
-        for _, block, _ in scanner.blocks(r.text):
-            for (name, _), words in zip(scanner.templates, scanner.words, strict=True):
-                want[r.doc_id, name] += words == license_scan.wording(block)
-    assert got == +want
+        words = license_scan.wording(r.text)
+        places = {k: [j for j in range(len(words) - len(own) + 1) if words[j : j + len(own)] == own] for k, own in enumerate(scanner.words)}
+        for k, found in places.items():
+            # a quotation within a longer one is part of it
+            inside = [j for j in found for o, all_of in places.items() if len(scanner.words[o]) > len(scanner.words[k]) for i in all_of if i <= j and j + len(scanner.words[k]) <= i + len(scanner.words[o])]
+            want[r.doc_id, k] += len(set(found) - set(inside))
+    assert got == +want and sum(want.values()) > 0
+
+
+def test_any_template_can_be_found():
+    """What is sought follows from the templates: no word of the trade is needed, and whole licences may be given."""
+    rng = random.Random(9)
+    long = " ".join(f"t{rng.randrange(300)}" for _ in range(900)) + "."
+    scanner = license_scan.Scanner([("PD", "All rights are dedicated to the public domain by the authors."), ("LONG", long), ("NONE", " ... ")])
+    assert [(k, n) for _, _, k, _, n in scanner.scan("x y. All rights are dedicated to the\npublic domain by the authors, so there.")] == [(1, 0)]
+    edited = [w for j, w in enumerate(long.split()) if j % 9]
+    ((_, block, k, _, n),) = scanner.scan("before. " * 50 + " ".join(edited) + " after" * 50)
+    assert k == 0 and n == 100 and f"{block}.".split() == edited
+    assert not [*scanner.scan("")] and not [*license_scan.Scanner([]).scan("Released under the MIT License.")]
+
+
+def test_no_place_of_a_notice_hides_it():
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for gap in range(150, 260, 10):
+        assert [n for *_, n in scanner.scan("license " + "x" * gap + " " + mit)] == [0]
+    assert [n for *_, n in scanner.scan("\u0130 " * 40 + mit + " \u0130\u0307")] == [0]
 
 
 def sliding(scanner, text):
     """(template, first word, end, changed) of a plain comparison of all templates with all runs of words."""
     words, found = license_scan.wording(text), []
-    trade = [bool(re.search("licen[cs]e|permission|redistribut", w)) or (w.endswith("free") and nxt.startswith("software")) for w, nxt in zip(words, [*words[1:], ""], strict=True)]
 
     def changed(a, b):
         row = list(range(len(b) + 1))
@@ -138,7 +159,7 @@ def sliding(scanner, text):
                 continue
             for n, cost in enumerate(changed(own, words[start : start + int(len(own) + most)])):
                 best[start + n] = min(best.get(start + n, (99, 0)), (cost, -start))
-        found += [(cost - len(own), -scanner.reduction(k, words[-start : end]), k, -start, end, cost) for end, (cost, start) in best.items() if cost <= most and any(trade[-start : end])]
+        found += [(cost - len(own), -scanner.reduction(k, words[-start : end]), k, -start, end, cost) for end, (cost, start) in best.items() if cost <= most and -start < end]
     out = []
     for _, reduction, k, start, end, cost in sorted(found):
         if reduction <= -0.3 and all(end <= x or start >= y for _, x, y, _ in out):
