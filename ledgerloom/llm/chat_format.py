@@ -14,8 +14,9 @@ both.
 
 Defined cases: a null text or role is empty; turns follow (turn, role, text) with null turns first; repeated rows are
 turns of their own; rows with a null conv_id make one conversation; a turn longer than the budget keeps its text whole
-and exceeds it; only a leading turn of the role `system` counts as one, and not where it is all there is; extra columns
-are not read.
+and exceeds it; only a leading turn of the role `system` counts as one, and not where it is all there is; a system turn
+that would take more than half of the place of new turns cannot be retained within the budget: it is a turn like others,
+in the first window only; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, histo
     rows = rows.select("*", key)
     sums = rows.groupBy("conv", "range").agg(F.sum("tokens").alias("sum"), F.count("*").alias("n"), F.min(F.struct("seq", "role", "tokens", "shown", "head")).alias("first"))
     convs = sums.groupBy("conv").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-    is_system = (F.col("first.role") == "system") & (F.col("n") > 1)
+    is_system = (F.col("first.role") == "system") & (F.col("n") > 1) & (2 * F.col("first.tokens") <= budget - history)
     convs = convs.select("conv", F.when(is_system, F.col("first.seq")).alias("system_seq"), F.when(is_system, F.col("first.tokens")).otherwise(0).alias("system_tokens"))
     before = Window.partitionBy("conv").orderBy("range")  # as many rows as ranges hold the conversation
     base = sums.select("conv", "range", (F.sum("sum").over(before) - F.col("sum")).alias("base"))
