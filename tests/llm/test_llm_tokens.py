@@ -41,9 +41,18 @@ def test_op3_bpe_gives_what_the_library_gives(spark, small):
     assert len(got) == len(want) and {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
 
 
-def test_each_distinct_word_is_encoded_once(hard):
-    words = bpe.word_table(hard, WORD, "text")
-    assert words.count() == words.select("word").distinct().count() == hard.selectExpr("explode(array_remove(split(coalesce(text, ''), '[ \\t-\\r]+'), '')) as w").distinct().count()
+def test_other_blocks_are_noticed(spark):
+    """Rows that change between the two scans raise, even where the numbers of words stay."""
+
+    def texts(batches):
+        import os
+
+        for batch in batches:
+            yield batch.assign(text=[os.urandom(8).hex() for _ in range(len(batch))])
+
+    df = spark.range(200).withColumnRenamed("id", "doc_id").mapInPandas(texts, "doc_id long, text string")
+    with pytest.raises(Exception, match="cut different blocks"):
+        bpe.digests(df, WORD).collect()
 
 
 @settings(max_examples=200, deadline=None)
@@ -116,11 +125,34 @@ def test_chat_windows(spark, budget, history):
         assert new >= 1
         if new > 1 and budget > 100:
             assert len(tokenizer.encode(w.text, add_special_tokens=False).ids) <= budget
-        if w.conv_id == 1:
+        if w.conv_id == 1 and budget > 50:
             assert w.text.startswith("<|im_start|>system\nbe kind")
     assert sum(r.n_turns for r in got.values()) == len(rows)
 
 
+def test_a_long_system_turn_is_not_repeated(spark):
+    rows = [(1, 0, "system", "word " * 900)] + [(1, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(1, 41)]
+    windows = chat_format.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), BYTE).collect()
+    assert sum("<|im_start|>system" in w.text for w in windows) == 1 and sum(len(w.text) for w in windows) < 3 * 5000
+    short = [(1, 0, "system", "word " * 300), *((1, k, "user", "word " * 200) for k in range(1, 9))]
+    windows = chat_format.format_windows(spark.createDataFrame(short, "conv_id long, turn long, role string, text string"), BYTE).collect()
+    assert len(windows) > 3 and all(w.text.startswith("<|im_start|>system") for w in windows)
+
+
+def test_op2_chat_format_reads_all_conversations_back(spark, small):
+    said = defaultdict(list)
+    for r in spark.read.parquet(f"{small}/conversations.parquet").orderBy("conv_id", "turn", "role", "text").collect():
+        said[r.conv_id].append((r.role, r.text or ""))
+    said[-1] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for conv, turns in said.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        want[conv] = (len(turns), sha("".join(f"{role}\n{t}\n" for role, t in turns)), len(loss), sha(loss))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.op2_chat_format(spark, small).collect()}
+    assert got == want
+
+
 def test_no_chats(spark):
     _, df = turns(spark)
     assert chat_format.read_back(chat_format.format_windows(df.limit(0), BYTE)).count() == 0
