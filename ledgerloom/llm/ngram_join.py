@@ -42,6 +42,8 @@ LOW, FRAGMENTS = 0.26, 8
 FEW, PART = 16, 2000
 #: Parities of a set's bitmap; beyond twice as many shingles it rules out little.
 BITS = 512
+#: Bits of the filter that thins out the texts read again for comparison; beyond them it just lets more through.
+FILTER_BITS = 1 << 20
 
 
 def shingles(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
@@ -109,10 +111,11 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int
     classes = read.where("sig is not null").groupBy("sig").agg(F.min("row").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
     classes = stash(classes, "classes")
     reps = read.select("row", "n", "low", "first").join(classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
-    grams = reps.select(F.col("row").alias("id"), "n", "low", F.posexplode("first").alias("pos", "gram"))
-    grams = grams.withColumn("late", F.col("pos") >= F.col("low")).drop("pos")
-    counts = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    shared = grams.join(counts.hint("merge"), "gram")
+    grams = reps.select(F.col("row").alias("id"), "low", F.posexplode("first").alias("pos", "gram"))
+    grams = grams.select("id", "gram", (F.col("pos") >= F.col("low")).alias("late"))
+    # one exchange by shingle; a class holds each shingle once, so none of them has a great share of the rows
+    shared = grams.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1")
+    shared = shared.join(read.select(F.col("row").alias("id"), "n", "low").hint("merge"), "id")
     # of a class's prefix, what is not shared cannot match but takes its places: all of it is rarer than what is shared
     of_class = Window.partitionBy("id")
     order = of_class.orderBy("late", F.when(F.col("late"), F.lit(0)).otherwise(F.col("df")), "gram")
@@ -161,7 +164,12 @@ def fragments(rows: DataFrame, read: DataFrame, needed: DataFrame, words: int) -
     """(row, fragment, grams) of the classes in needed (row): their texts are read again and cut."""
     wanted = read.select("row", "id", "mark", "sig").join(needed, "row")
     wanted = stash(wanted.select("row", F.col("id").alias("own"), F.col("mark").alias("hash"), "sig"), "wanted")
-    near = rows.join(wanted, rows["id"].eqNullSafe(wanted["own"]) & (rows["mark"] == wanted["hash"])).select("row", "sig", "text")
+    bit = lambda *of: F.pmod(F.xxhash64(*of), F.lit(FILTER_BITS))
+    mask = wanted.select(bit("own", "hash").alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
+    mask = mask.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("mask"))  # at most FILTER_BITS / 32 rows
+    near = rows.withColumn("bit", bit("id", "mark")).withColumn("word", F.shiftright("bit", 5)).join(F.broadcast(mask), "word")
+    near = near.where("(shiftright(mask, cast(bit & 31 as int)) & 1) = 1").select("id", "mark", "text")
+    near = near.join(wanted, near["id"].eqNullSafe(wanted["own"]) & (near["mark"] == wanted["hash"])).select("row", "sig", "text")
     edges = np.array([k * 2**64 // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
