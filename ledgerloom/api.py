@@ -53,11 +53,17 @@ class Store:
     def ledger(self) -> DataFrame:
         return ledger.build(self.ops, self.all_events, self.key)
 
+    def of(self, *worlds: str) -> Store:
+        """A store of these worlds only: their ops are all that is read."""
+        return Store(self.ops.where(F.col("world").isin(*worlds)), self.key, self.retained, self.quota, self.replay_max)
+
     def read(self, *worlds: str) -> DataFrame:
         """world, generation, body, content_type, headers, etag; all worlds where none is named."""
-        heads = chain.head(self.events).select("world", "generation", F.col("hmac").alias("etag"))
-        stages = state.stage(self.ops).join(heads, ["world", "generation"])
-        return stages.where(F.col("world").isin(*worlds)) if worlds else stages
+        own = self.of(*worlds) if worlds else self
+        last = own.events.groupBy("world", "generation").agg(F.max_by("hmac", "seq").alias("hmac"))
+        sound = chain.tail_verify(own.events, own.key).where("ok").select("world", "generation")
+        heads = last.join(sound, ["world", "generation"], "left_semi").select("world", "generation", F.concat(F.lit("hmac-"), F.col("hmac")).alias("etag"))
+        return state.stage(own.ops).join(heads, ["world", "generation"])
 
     def head(self, *worlds: str) -> DataFrame:
         return self.read(*worlds).withColumn("length", F.octet_length("body")).drop("body")
@@ -68,7 +74,7 @@ class Store:
         return found if most is None else state.bounded(found, most)
 
     def du(self) -> DataFrame:
-        return usage.du(state.stage(self.ops), self.events, self.bodies)
+        return usage.du(state.stage(self.ops), self.events, self.bodies, ledger.usage_row(self.ops))
 
     def df(self) -> DataFrame:
         return usage.df(self.du(), self.quota)
@@ -79,10 +85,10 @@ class Store:
         return chain.verify(self.events, self.key, cas, self.floors).union(chain.verify(self.ledger, self.key))
 
     def chain_head(self) -> DataFrame:
-        return chain.head(self.events)
+        return chain.head(self.events, self.key)
 
     def chain_stamp(self, ordinal: int) -> DataFrame:
-        return chain.stamp(self.events, ordinal)
+        return chain.stamp(self.events, ordinal, self.key)
 
     def get_at(self, coords: DataFrame) -> DataFrame:
         return timeline.dereference(coords, self.live, self.events, self.bodies, self.floors)

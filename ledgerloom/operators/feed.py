@@ -88,22 +88,23 @@ def ring(feed: DataFrame, most: int = RING) -> DataFrame:
 
 
 def resume(requests: DataFrame, live: DataFrame, events: DataFrame, most: int = RING) -> DataFrame:
-    """requests (pattern world or null for a wildcard, cursor) with outcome and replayed (number of changes).
+    """requests (exact: a world, cursor) with outcome and replayed (number of changes); for wildcards see resume_ring.
 
-    live: (world, generation). Outcomes: replay, or a reset for ring_miss, incarnation or truncation.
+    live: (world, generation). Outcomes: replay, or a reset for ring_miss, incarnation or truncation (no such row).
     """
     world, generation, seq = paths.cursor_parts(F.col("cursor"))
     r = requests.withColumns({"c_world": world, "c_generation": generation, "c_seq": seq.try_cast("long")})
     now = live.select(F.col("world").alias("c_world"), F.col("generation").alias("now"))
-    per = events.groupBy("world", "generation").agg(F.max("seq").alias("top"), F.min("seq").alias("low"))
-    per = per.select(F.col("world").alias("c_world"), F.col("generation").alias("now"), "top", "low")
-    out = r.join(now, "c_world", "left").join(per, ["c_world", "now"], "left")
+    per = events.groupBy("world", "generation").agg(F.max("seq").alias("top"))
+    per = per.select(F.col("world").alias("c_world"), F.col("generation").alias("now"), "top")
+    marker = events.select(F.col("world").alias("c_world"), F.col("generation").alias("now"), F.col("seq").alias("c_seq"), F.lit(True).alias("there"))
+    out = r.join(now, "c_world", "left").join(per, ["c_world", "now"], "left").join(marker, ["c_world", "now", "c_seq"], "left")
     after = F.col("top") - F.col("c_seq")
     outcome = (
         F.when(F.col("exact") != F.col("c_world"), "ring_miss")
         .when(F.col("now").isNull(), "ring_miss")
         .when(F.col("now") != F.col("c_generation"), "incarnation")
-        .when((F.col("c_seq") > F.col("top")) | (F.col("c_seq") < F.col("low")), "truncation")
+        .when(F.col("there").isNull(), "truncation")
         .when(after > most, "ring_miss")
         .otherwise("replay")
     )
@@ -112,10 +113,23 @@ def resume(requests: DataFrame, live: DataFrame, events: DataFrame, most: int =
 
 
 def replay_after(events: DataFrame, cursors: DataFrame, most: int = RING) -> DataFrame:
-    """The events that follow each (world, generation, marker) in its chain, for chains with at most `most` of them."""
+    """The events that follow each (world, generation, marker) in its chain, with status replay; where they are more than
+    `most`, one row with the status ring_miss and no event instead, the reset that a subscriber gets."""
     out = events.join(cursors, ["world", "generation"]).where("seq > marker")
     n = F.count("*").over(Window.partitionBy("world", "generation", "marker"))
-    return out.withColumn("n", n).where(F.col("n") <= most).drop("n")
+    out = out.withColumn("n", n)
+    rows = out.where(F.col("n") <= most).drop("n").withColumn("status", F.lit("replay"))
+    gone = out.where(F.col("n") > most).select("world", "generation", "marker").distinct().withColumn("status", F.lit("ring_miss"))
+    return rows.unionByName(gone, allowMissingColumns=True)
+
+
+def resume_ring(requests: DataFrame, ringed: DataFrame) -> DataFrame:
+    """requests (cursor) of wildcard subscribers with outcome and replayed: the deliveries of the ring that follow the
+    cursor's, or the reset ring_miss where the ring no longer holds it. The ring is bounded, so it is broadcast."""
+    at = ringed.where("cursor is not null").select("cursor", F.col("delivery_id").alias("at"))
+    top = ringed.agg(F.max("delivery_id").alias("top"))
+    out = requests.join(F.broadcast(at), "cursor", "left").crossJoin(F.broadcast(top))
+    return out.select(*requests.columns, F.when(F.col("at").isNull(), "ring_miss").otherwise("replay").alias("outcome"), (F.col("top") - F.col("at")).alias("replayed"))
 
 
 def fenced(live: DataFrame, fence: DataFrame) -> DataFrame:

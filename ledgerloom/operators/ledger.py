@@ -41,6 +41,13 @@ def ledger_generation() -> str:
     return hashlib.sha256(f"{paths.LEDGER}:0".encode()).hexdigest()[:32]
 
 
+def usage_row(ops: DataFrame) -> DataFrame:
+    """The ledger's row of a usage report, once there is a ledger: its events follow from the number of deletes."""
+    none = F.lit(0).cast("long")
+    n = accepted_deletes(ops).agg(F.count("*").alias("n")).where("n > 0")
+    return n.select(F.lit(paths.LEDGER).alias("world"), none.alias("total"), none.alias("current"), none.alias("retained"), (1 + 2 * F.col("n")).alias("events"))
+
+
 def build(ops: DataFrame, events: DataFrame, key: bytes = crypto.FIXTURE_KEY, failed: tuple[int, ...] = ()) -> DataFrame:
     """The ledger's events. failed: op_ids whose removal is made to fail, which are committed as such."""
     ship(ops.sparkSession)

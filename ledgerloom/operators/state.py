@@ -18,16 +18,18 @@ def generation(world: Column, g: Column) -> Column:
 
 
 def numbered(ops: DataFrame) -> DataFrame:
-    """ops with g (deletes before), blk (replaces so far in this incarnation) and accepted.
+    """ops with g (accepted deletes before), blk (replaces so far in this incarnation) and accepted.
 
     An append or delete of a world that is not there is refused (not_found).
     """
-    by_world = Window.partitionBy("world").orderBy("op_id")
-    deleted = F.sum((F.col("verb") == "delete").cast("long")).over(by_world.rowsBetween(Window.unboundedPreceding, -1))
-    out = ops.withColumn("g", F.coalesce(deleted, F.lit(0)))
-    by_life = Window.partitionBy("world", "g").orderBy("op_id")
-    out = out.withColumn("blk", F.sum((F.col("verb") == "replace").cast("long")).over(by_life.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("accepted", (F.col("verb") == "replace") | (F.col("blk") > 0))
+    before = Window.partitionBy("world").orderBy("op_id").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("world", "tries").orderBy("op_id").rowsBetween(Window.unboundedPreceding, 0)
+    deletes, replaces = F.col("verb") == "delete", F.col("verb") == "replace"
+    # between two deletes, accepted or not, a world is there from the first replace on
+    out = ops.withColumn("tries", F.coalesce(F.sum(deletes.cast("long")).over(before), F.lit(0)))
+    out = out.withColumn("blk", F.sum(replaces.cast("long")).over(so_far))
+    out = out.withColumn("accepted", replaces | (F.col("blk") > 0))
+    return out.withColumn("g", F.coalesce(F.sum((deletes & F.col("accepted")).cast("long")).over(before), F.lit(0))).drop("tries")
 
 
 def outcomes(ops: DataFrame) -> DataFrame:

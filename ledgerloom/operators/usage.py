@@ -9,23 +9,50 @@ from ..functions import paths
 
 #: What an entry in memory is charged besides its parts.
 ENTRY_BYTES, HASH_BYTES = 128, 64
+#: Bytes that entries in memory may be charged in all, by default.
+MEMORY_QUOTA = 256 * 1024 * 1024
 
 
-def du(stages: DataFrame, events: DataFrame, cas: DataFrame) -> DataFrame:
-    """world, total, current, retained, events of the live worlds."""
+def du(stages: DataFrame, events: DataFrame, cas: DataFrame, book: DataFrame | None = None, memory: DataFrame | None = None) -> DataFrame:
+    """world, total, current, retained, events of the live worlds, of the ledger (book: its row, see ledger.usage_row) and
+    of the worlds in memory (their stages), which count as their bodies."""
     now = stages.select("world", "generation", F.octet_length("body").cast("long").alias("current"))
     held = cas.groupBy("world", "generation").agg(F.sum("body_size").alias("retained"))
     rows = events.groupBy("world", "generation").agg(F.count("*").alias("events"))
     out = now.join(held, ["world", "generation"], "left").join(rows, ["world", "generation"], "left")
     out = out.select("world", "current", F.coalesce("retained", F.lit(0)).alias("retained"), F.coalesce("events", F.lit(0)).alias("events"))
-    return out.select("world", (F.col("current") + F.col("retained")).alias("total"), "current", "retained", "events").orderBy("world")
+    out = out.select("world", (F.col("current") + F.col("retained")).alias("total"), "current", "retained", "events")
+    if book is not None:
+        out = out.union(book)
+    if memory is not None:
+        size, none = F.octet_length("body").cast("long"), F.lit(0).cast("long")
+        out = out.union(memory.select("world", size, size, none, none))
+    return out.orderBy("world")
 
 
-def df(usage: DataFrame, quota: int | None) -> DataFrame:
-    """One row: worlds (without the ledger), used, quota, free."""
-    out = usage.agg(F.coalesce(F.sum((F.col("world") != paths.LEDGER).cast("long")), F.lit(0)).alias("worlds"), F.coalesce(F.sum("total"), F.lit(0)).alias("used"))
-    limit = F.lit(quota).cast("long")
-    return out.select("worlds", "used", limit.alias("quota"), F.greatest(limit - F.col("used"), F.lit(0)).alias("free"))
+def lines(usage: DataFrame) -> DataFrame:
+    """usage with line: the fields of du with tabs between them."""
+    return usage.withColumn("line", F.concat(F.concat_ws("\t", "world", "total", "current", "retained", "events"), F.lit("\n")))
+
+
+def df(usage: DataFrame, quota: int | None, memory: DataFrame | None = None, memory_quota: int = MEMORY_QUOTA) -> DataFrame:
+    """One row: worlds (without the ledger), bytes used, current and retained, events, quota and free; the same of memory.
+
+    usage: du of the durable worlds; memory: the stages in memory, which are charged for more than their bodies.
+    """
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = usage.agg(whole((F.col("world") != paths.LEDGER).cast("long")).alias("durable"), *[whole(F.col(c)).alias(n) for c, n in (("total", "used"), ("current", "current"), ("retained", "retained"), ("events", "events"))])
+    if memory is not None:
+        charged = memory_charge(F.col("world"), F.col("body"), F.col("content_type"), F.col("headers"))
+        held = memory.agg(F.count("*").alias("entries"), whole(charged).alias("memory_used"))
+        out = out.crossJoin(held)  # a row each
+    else:
+        out = out.withColumns({"entries": F.lit(0), "memory_used": F.lit(0).cast("long")})
+    limit, most = F.lit(quota).cast("long"), F.lit(memory_quota).cast("long")
+    return out.select(
+        (F.col("durable") + F.col("entries")).alias("worlds"), "used", "current", "retained", "events", limit.alias("quota"), F.greatest(limit - F.col("used"), F.lit(0)).alias("free"),
+        "memory_used", most.alias("memory_quota"), F.greatest(most - F.col("memory_used"), F.lit(0)).alias("memory_free"),
+    )
 
 
 def memory_charge(world: Column, body: Column, content_type: Column, headers: Column) -> Column:

@@ -3,6 +3,13 @@
 from __future__ import annotations
 
 from ..functions.crypto import EMPTY_SHA, EVENT_FIELDS, FIXTURE_KEY, pads
+from ..operators import policy
+
+
+def policy_headers() -> list[str]:
+    """Header names of each kind, as a request may bring them."""
+    return ["Content-Language", "expires", "Cookie", "X-Source", "x-my-Tag", "X-Other", "Sec-Fetch-Mode", ":path", "X-Robots-Tag", "CF-Ray", "pragma", "last-modified"]
+
 
 _INNER, _OUTER = (p.hex() for p in pads(FIXTURE_KEY))
 _NONE = "0" * 64
@@ -29,9 +36,11 @@ _OPS = """
 ops AS (SELECT event_id AS op_id, 'home/u/' || user_id AS world, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || substr(strftime(ts, '%f'), 1, 3) || 'Z' AS timestamp,
   CASE WHEN event_type IN ('signup', 'purchase') THEN 'replace' WHEN event_type IN ('view', 'click') THEN 'append' ELSE 'delete' END AS verb,
   event_type AS kind, coalesce(props, '') AS body FROM events),
-lives AS (SELECT *, coalesce(sum(CASE WHEN verb = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY world ORDER BY op_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM ops),
-blocks AS (SELECT *, sum(CASE WHEN verb = 'replace' THEN 1 ELSE 0 END) OVER (PARTITION BY world, g ORDER BY op_id)::BIGINT AS blk FROM lives),
-accepted AS (SELECT *, substr(sha256(world || ':' || g), 1, 32) AS generation, verb = 'replace' OR blk > 0 AS ok FROM blocks),
+lives AS (SELECT *, coalesce(sum(CASE WHEN verb = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY world ORDER BY op_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS tries FROM ops),
+blocks AS (SELECT *, sum(CASE WHEN verb = 'replace' THEN 1 ELSE 0 END) OVER (PARTITION BY world, tries ORDER BY op_id)::BIGINT AS blk FROM lives),
+judged_ops AS (SELECT *, verb = 'replace' OR blk > 0 AS ok FROM blocks),
+counted AS (SELECT *, coalesce(sum(CASE WHEN verb = 'delete' AND ok THEN 1 ELSE 0 END) OVER (PARTITION BY world ORDER BY op_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM judged_ops),
+accepted AS (SELECT *, substr(sha256(world || ':' || g), 1, 32) AS generation FROM counted),
 bodies AS (SELECT op_id, world, g, generation, timestamp, CASE verb WHEN 'replace' THEN 'put' ELSE 'append' END AS event_type,
   string_agg(body, '') OVER (PARTITION BY world, g, blk ORDER BY op_id) AS full_body,
   first_value(kind) OVER (PARTITION BY world, g, blk ORDER BY op_id) AS kind,
@@ -121,6 +130,11 @@ checked AS (SELECT *, CASE
     WHEN NOT regexp_full_match(timestamp, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d\\.\\d{{3}}Z') THEN ['timestamp-sqlite-utc-ms', 'timestamp-' || timestamp]
     WHEN hmac <> real_hmac THEN ['hmac-' || real_hmac, 'hmac-' || hmac] END AS broken FROM hashed)"""
 
+#: The ledger in usage reports, from the number of deletes alone.
+_LEDGER_USE = "(SELECT 'var/log/deletes' AS world, 0 AS total, 0 AS current, 0 AS retained, (1 + 2 * count(*))::BIGINT AS events FROM accepted WHERE verb = 'delete' AND ok HAVING count(*) > 0)"
+_quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+_HEADERS, _NEVER, _DEFAULT = _quoted(policy_headers()), _quoted(policy.NEVER), _quoted(policy.DEFAULT)
+
 ORACLES = {
     "world_validity": f"""{_CANDIDATES} SELECT id, shape::INTEGER AS shape, CASE
       WHEN world = '' THEN 'world path is empty' WHEN {_DISK.format('world')} > 200 THEN 'world path is too long'
@@ -134,7 +148,7 @@ ORACLES = {
     "write_gate_matrix": f"""WITH {_WORLDS}, t AS (SELECT world, tier FROM (SELECT world FROM w UNION ALL VALUES ('var/log/deletes'), ('var/log/other'), ('etc/x')) x(world), (VALUES ('anon'), ('read'), ('write'), ('approve')) y(tier))
       SELECT world, tier, CASE WHEN tier = 'approve' OR (tier = 'write' AND NOT {_APPROVE}) THEN CASE WHEN world = 'var/log/deletes' THEN 'append_only' ELSE 'ok' END WHEN {_APPROVE} THEN 'auth_write_approve' ELSE 'auth_write' END AS write_status,
         CASE WHEN tier <> 'approve' THEN 'auth_delete' WHEN world = 'var/log/deletes' THEN 'append_only' ELSE 'ok' END AS delete_status FROM t""",
-    "list_worlds": f"{_STATE} SELECT world FROM live UNION SELECT 'tmp/chat/' || conv_id FROM conversations WHERE turn = 0",
+    "list_worlds": f"{_STATE} SELECT world FROM live UNION SELECT 'tmp/chat/' || conv_id FROM conversations WHERE turn = 0 UNION SELECT 'var/log/deletes' FROM accepted WHERE verb = 'delete' AND ok",
     "prefix_list": "SELECT DISTINCT 'var/orders/' || o_custkey AS world FROM orders WHERE starts_with(o_custkey::VARCHAR, '1')",
     "prefix_list_bounded": """SELECT world FROM (SELECT *, count(*) OVER () AS n FROM (SELECT DISTINCT 'lib/src/' || source AS world FROM documents WHERE starts_with(source, 'src1'))) WHERE n <= 50
       UNION ALL SELECT world FROM (SELECT *, count(*) OVER () AS n FROM (SELECT DISTINCT 'var/orders/' || o_custkey AS world FROM orders)) WHERE n <= 50""",
@@ -158,6 +172,7 @@ ORACLES = {
       min_by(broken[1], idx) FILTER (broken IS NOT NULL) AS expected, min_by(broken[2], idx) FILTER (broken IS NOT NULL) AS actual FROM checked GROUP BY world, generation""",
     "chain_tail_verify": f"{_SPOILT} SELECT world, generation, seq, prev_hmac = linked AND hmac = real_hmac AS ok FROM hashed QUALIFY row_number() OVER (PARTITION BY world, generation ORDER BY seq DESC) = 1",
     "chain_head": f"{_LIVE} SELECT world, generation, count(*) AS seq, 'hmac-' || max_by(hmac, seq) AS hmac FROM live_events GROUP BY world, generation",
+    "chain_head_broken": f"{_SPOILT} SELECT world, generation, count(*) AS seq, 'hmac-' || max_by(hmac, seq) AS hmac FROM checked GROUP BY world, generation HAVING count(broken) = 0",
     "chain_stamp": f"{_LIVE} SELECT world, generation, 3::BIGINT AS requested, max(top) AS observed, 'hmac-' || max(hmac) FILTER (seq = 3) AS hmac FROM (SELECT *, count(*) OVER (PARTITION BY world, generation) AS top FROM live_events) GROUP BY world, generation HAVING max(top) >= 3",
     "chain_stamp_missing": f"{_LIVE} SELECT world, generation, 6::BIGINT AS requested, count(*) AS observed FROM live_events GROUP BY world, generation HAVING count(*) < 6",
     "live_body_check": f"{_STATE} SELECT world, generation, NOT ends_with(world, '7') AS ok FROM stage",
@@ -174,9 +189,23 @@ ORACLES = {
     "pruned_bytes": f"{_LIVE} {_KEPT} SELECT world, count(*) AS bodies, sum(body_size)::BIGINT AS bytes FROM gone GROUP BY world",
     "unreferenced_cas": f"{_STATE} SELECT DISTINCT world, generation, sha256(world) AS body_sha256 FROM bodies SEMI JOIN live USING (world, generation)",
     "du": f"""{_LIVE} {_KEPT}, e AS (SELECT world, count(*) AS events FROM live_events GROUP BY world), k AS (SELECT world, sum(body_size)::BIGINT AS retained FROM kept GROUP BY world)
-      SELECT world, strlen(body) + coalesce(retained, 0) AS total, strlen(body) AS current, coalesce(retained, 0) AS retained, events FROM stage LEFT JOIN e USING (world) LEFT JOIN k USING (world)""",
-    "df": f"""{_LIVE} {_KEPT}, used AS (SELECT (SELECT coalesce(sum(strlen(body)), 0) FROM stage) + (SELECT coalesce(sum(body_size), 0) FROM kept) AS u)
-      SELECT (SELECT count(*) FROM stage) AS worlds, u::BIGINT AS used, 1000000000::BIGINT AS quota, greatest(1000000000 - u, 0)::BIGINT AS free FROM used""",
+      SELECT world, strlen(body) + coalesce(retained, 0) AS total, strlen(body) AS current, coalesce(retained, 0) AS retained, events FROM stage LEFT JOIN e USING (world) LEFT JOIN k USING (world)
+      UNION ALL SELECT * FROM {_LEDGER_USE} UNION ALL SELECT world, strlen(body), strlen(body), 0, 0 FROM ({_CHAT})""",
+    "df": f"""{_LIVE} {_KEPT}, c AS (SELECT (SELECT coalesce(sum(strlen(body)), 0) FROM stage)::BIGINT AS current, (SELECT coalesce(sum(body_size), 0) FROM kept)::BIGINT AS retained,
+        ((SELECT count(*) FROM live_events) + (SELECT coalesce(sum(events), 0) FROM {_LEDGER_USE}))::BIGINT AS events, (SELECT count(*) FROM ({_CHAT})) AS chats,
+        (SELECT coalesce(sum(192 + strlen(world) + strlen(body) + strlen('text/plain') + strlen('x-kind') + strlen('chat')), 0) FROM ({_CHAT}))::BIGINT AS memory_used)
+      SELECT ((SELECT count(*) FROM stage) + chats)::BIGINT AS worlds, current + retained AS used, current, retained, events, 1000000000::BIGINT AS quota, greatest(1000000000 - current - retained, 0)::BIGINT AS free,
+        memory_used, 268435456::BIGINT AS memory_quota, greatest(268435456 - memory_used, 0)::BIGINT AS memory_free FROM c""",
+    "du_lines": f"""{_LIVE} {_KEPT}, e AS (SELECT world, count(*) AS events FROM live_events GROUP BY world), k AS (SELECT world, sum(body_size)::BIGINT AS retained FROM kept GROUP BY world)
+      SELECT world || chr(9) || (strlen(body) + coalesce(retained, 0)) || chr(9) || strlen(body) || chr(9) || coalesce(retained, 0) || chr(9) || events || chr(10) AS line FROM stage LEFT JOIN e USING (world) LEFT JOIN k USING (world)""",
+    "metadata_guard": "SELECT conv_id, turn, CASE WHEN regexp_matches(coalesce(text, ''), '[\\x00\\r\\n]') OR regexp_matches(coalesce(role, ''), '[\\x00\\r\\n]') OR turn % 3 = 1 THEN 'invalid_metadata' ELSE 'ok' END AS status FROM conversations",
+    "header_policy": f"""WITH h AS (SELECT doc_id, source, unnest([{_HEADERS}]) AS given FROM documents), l AS (SELECT *, lower(given) AS name FROM h)
+      SELECT doc_id, given, CASE WHEN NOT regexp_matches(name, '^(sec-|access-control-request-|want-|:|x-b3-|x-amzn-|cf-|x-timeline-)') AND NOT list_contains([{_NEVER}], name) AND name <> 'expires'
+        AND (list_contains([{_DEFAULT}], name) OR name = 'x-source' OR starts_with(name, 'x-my-')) THEN name || '=' || source ELSE '' END AS stored FROM l""",
+    "canonical_path": "SELECT page_id, shape::INTEGER AS shape, CASE WHEN list_contains(['home', 'tmp', 'dev', 'sys', 'etc', 'lib', 'boot', 'usr', 'var', 'proc'], split_part(ltrim(given, '/'), '/', 1)) THEN ltrim(given, '/') ELSE 'home/' || ltrim(given, '/') END AS world FROM (SELECT page_id, unnest(['/' || split_part(url, '://', -1), '//tmp/' || page_id, 'proc/' || page_id, '/home/tmp/' || page_id, 'homely/' || page_id]) AS given, unnest(range(5)) AS shape FROM pages)",
+    "read_gate": "SELECT tier, has_read_token, CASE WHEN has_read_token AND tier = 'anon' THEN 'auth_read' ELSE 'ok' END AS status, CASE WHEN has_read_token AND tier = 'anon' THEN 401 ELSE 200 END::BIGINT AS http FROM (VALUES ('anon'), ('read'), ('write'), ('approve')) t(tier), (VALUES (true), (false)) r(has_read_token)",
+    "read_not_modified": f"""WITH c AS (SELECT world, 'sha256-' || sha256(body) AS etag FROM ({_CHAT})) SELECT world, shape::INTEGER AS shape, CASE WHEN shape IN (0, 1, 2, 3) THEN 304 ELSE 200 END::BIGINT AS http FROM c, range(8) r(shape)""",
+    "op_http_status": f"{_STATE} SELECT op_id, CASE WHEN ok THEN 200 ELSE 404 END::BIGINT AS http FROM accepted",
     "memory_charge": f"SELECT world, 192 + strlen(world) + strlen(body) + strlen('text/plain') + strlen('x-kind') + strlen('chat') AS charged, strlen(body) AS body_bytes FROM ({_CHAT})",
     "quota_running": f"""{_STATE}, g AS (SELECT op_id, world, strlen(full_body) - coalesce(lag(strlen(full_body)) OVER (PARTITION BY world, g ORDER BY seq), 0)
         + CASE WHEN row_number() OVER (PARTITION BY world, g, sha256(full_body) ORDER BY seq) = 1 THEN strlen(full_body) ELSE 0 END AS grown FROM bodies)
@@ -187,7 +216,10 @@ ORACLES = {
     "change_feed": f"{_FEED} SELECT delivery_id, op_id, world, verb, etag, cursor, size FROM delivered",
     "pattern_match": f"""{_STATE}, c AS (SELECT world, CASE event_type WHEN 'put' THEN 'replace' ELSE 'append' END AS verb FROM bodies UNION ALL SELECT world, 'format' FROM bodies WHERE seq = 2)
       SELECT pattern, verb, count(*) AS n FROM c, (VALUES ('*', '%'), ('home/u/1*', 'home/u/1%'), ('/home/u/10', 'home/u/10'), ('home/u/', 'home/u/')) p(pattern, l) WHERE world LIKE l GROUP BY ALL""",
-    "replay_after": f"{_LIVE}, n AS (SELECT *, count(*) OVER (PARTITION BY world, generation) AS k FROM live_events WHERE seq > 2) SELECT world, generation, seq, event_type, 'hmac-' || hmac AS etag FROM n WHERE k <= 20",
+    "replay_after": f"""{_LIVE}, n AS (SELECT *, count(*) OVER (PARTITION BY world, generation) AS k FROM live_events WHERE seq > 2)
+      SELECT world, generation, 'replay' AS status, seq, event_type, 'hmac-' || hmac AS etag FROM n WHERE k <= 20 UNION ALL SELECT DISTINCT world, generation, 'ring_miss', NULL, NULL, NULL FROM n WHERE k > 20""",
+    "resume_wildcard": f"""{_FEED}, t AS (SELECT max(delivery_id) AS top FROM delivered)
+      SELECT cursor, CASE WHEN delivery_id > top - 512 THEN 'replay' ELSE 'ring_miss' END AS outcome, CASE WHEN delivery_id > top - 512 THEN top - delivery_id END AS replayed FROM delivered, t WHERE cursor IS NOT NULL AND delivery_id % 50 = 0""",
     "resume_outcome": f"""{_STATE}, t AS (SELECT world, generation, max(seq) AS top FROM bodies JOIN live USING (world, generation) GROUP BY ALL),
       r AS (SELECT t.*, kind, CASE kind WHEN 'other_world' THEN 'home/u/other' ELSE world END AS exact, world || '@' || CASE kind WHEN 'old_generation' THEN repeat('a', 32) ELSE generation END || '=' || mark AS cursor, mark,
         CASE WHEN kind = 'other_world' THEN 'ring_miss' WHEN kind = 'old_generation' THEN 'incarnation' WHEN mark > top THEN 'truncation' WHEN top - mark > 5 THEN 'ring_miss' ELSE 'replay' END AS outcome

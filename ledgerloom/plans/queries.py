@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import crypto, paths
-from ..operators import chain, conditional, feed, ledger, retention, state, timeline, usage
+from ..operators import chain, conditional, feed, ledger, policy, retention, state, timeline, usage
 from ..sources import oplog
 from ..streaming import chain_stream
 
@@ -83,7 +83,7 @@ def write_gate_matrix(spark: SparkSession, sf: str) -> DataFrame:
 def list_worlds(spark: SparkSession, sf: str) -> DataFrame:
     live = state.last_life(_ops(spark, sf)).select("world")
     memory = oplog.conversations_ops(spark, sf).where("verb = 'replace'")
-    return state.listing(live, memory)
+    return state.listing(live, memory, ledger.usage_row(_ops(spark, sf)))
 
 
 def prefix_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,6 +199,11 @@ def chain_head(spark: SparkSession, sf: str) -> DataFrame:
     return chain.head(_live(spark, sf)[1])
 
 
+def chain_head_broken(spark: SparkSession, sf: str) -> DataFrame:
+    """Of chains some of which are broken: only those that verify have a head."""
+    return chain.head(tampered(_built(spark, sf)[1]))
+
+
 def chain_stamp(spark: SparkSession, sf: str) -> DataFrame:
     return chain.stamp(_live(spark, sf)[1], 3).where("hmac is not null")
 
@@ -268,14 +273,23 @@ def unreferenced_cas(spark: SparkSession, sf: str) -> DataFrame:
 # usage
 
 
+def _memory(spark: SparkSession, sf: str) -> DataFrame:
+    return state.stage(oplog.conversations_ops(spark, sf))
+
+
 def du(spark: SparkSession, sf: str) -> DataFrame:
     ops, events, _ = _live(spark, sf)
-    return usage.du(state.stage(ops), events, retention.kept(events, KEEP))
+    return usage.du(state.stage(ops), events, retention.kept(events, KEEP), ledger.usage_row(ops), _memory(spark, sf))
+
+
+def du_lines(spark: SparkSession, sf: str) -> DataFrame:
+    ops, events, _ = _live(spark, sf)
+    return usage.lines(usage.du(state.stage(ops), events, retention.kept(events, KEEP))).select("line")
 
 
 def df(spark: SparkSession, sf: str) -> DataFrame:
     ops, events, _ = _live(spark, sf)
-    return usage.df(usage.du(state.stage(ops), events, retention.kept(events, KEEP)), QUOTA)
+    return usage.df(usage.du(state.stage(ops), events, retention.kept(events, KEEP), ledger.usage_row(ops)), QUOTA, _memory(spark, sf))
 
 
 def memory_charge(spark: SparkSession, sf: str) -> DataFrame:
@@ -333,7 +347,13 @@ def pattern_match(spark: SparkSession, sf: str) -> DataFrame:
 def replay_after(spark: SparkSession, sf: str) -> DataFrame:
     _, events, live = _live(spark, sf)
     out = feed.replay_after(events, live.withColumn("marker", F.lit(2).cast("long")), REPLAY)
-    return out.select("world", "generation", "seq", "event_type", F.concat(F.lit("hmac-"), F.col("hmac")).alias("etag"))
+    return out.select("world", "generation", "status", "seq", "event_type", F.concat(F.lit("hmac-"), F.col("hmac")).alias("etag"))
+
+
+def resume_wildcard(spark: SparkSession, sf: str) -> DataFrame:
+    f = _feed(spark, sf)
+    requests = f.where("cursor is not null and delivery_id % 50 = 0").select("cursor")
+    return feed.resume_ring(requests, feed.ring(f, RING))
 
 
 def resume_outcome(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,6 +388,50 @@ def cursor_parse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("op_id", "shape", paths.cursor_status(F.col("cursor")).alias("status"))
 
 
+# rules at the edge
+
+
+def metadata_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as headers; every third is a delete that brings a reserved header."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    reserved = F.when(F.col("turn") % 3 == 1, "Subject-Seq").otherwise("x-seq")
+    headers = F.array(F.struct(F.col("role").alias("name"), F.col("text").alias("value")), F.struct(reserved.alias("name"), F.lit("1").alias("value")))
+    return c.select("conv_id", "turn", policy.metadata_status(F.lit("text/plain"), headers, F.col("turn") % 3 == 1).alias("status"))
+
+
+def header_policy(spark: SparkSession, sf: str) -> DataFrame:
+    from .oracles import policy_headers
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.explode(F.array(*[F.lit(n) for n in policy_headers()])).alias("given"))
+    stored = policy.stored_headers(F.array(F.struct(F.col("given").alias("name"), F.col("source").alias("value"))), "x-source, X-My-*", "Expires")
+    return d.select("doc_id", "given", F.array_join(F.transform(stored, lambda h: F.concat(h["name"], F.lit("="), h["value"])), ";").alias("stored"))
+
+
+def canonical_path(spark: SparkSession, sf: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    n = F.col("page_id").cast("string")
+    shapes = F.array(F.concat(F.lit("/"), F.substring_index("url", "://", -1)), F.concat(F.lit("//tmp/"), n), F.concat(F.lit("proc/"), n), F.concat(F.lit("/home/tmp/"), n), F.concat(F.lit("homely/"), n))
+    return pages.select("page_id", F.posexplode(shapes).alias("shape", "given")).select("page_id", "shape", policy.canonical_path(F.col("given")).alias("world"))
+
+
+def read_gate(spark: SparkSession, sf: str) -> DataFrame:
+    cases = spark.createDataFrame([(t, r) for t in ("anon", "read", "write", "approve") for r in (True, False)], "tier string, has_read_token boolean")
+    out = cases.withColumn("status", policy.read_status(F.col("tier"), F.col("has_read_token")))
+    return out.withColumn("http", policy.http_status(F.col("status")))
+
+
+def read_not_modified(spark: SparkSession, sf: str) -> DataFrame:
+    rows = etag_memory(spark, sf)
+    tag = F.concat(F.lit('"'), F.col("etag"), F.lit('"'))
+    shapes = F.array(F.lit("*"), tag, F.concat(F.lit("W/"), tag), F.concat(F.lit('"x", w/ '), tag), F.lit('"x", "y"'), F.col("etag"), F.lit(None), F.lit(""))
+    rows = rows.select("world", "etag", F.posexplode(shapes).alias("shape", "asked"))
+    return rows.select("world", "shape", policy.http_status(F.when(policy.not_modified(F.col("asked"), F.col("etag")), "not_modified").otherwise("ok")).alias("http"))
+
+
+def op_http_status(spark: SparkSession, sf: str) -> DataFrame:
+    return state.outcomes(_ops(spark, sf)).select("op_id", policy.http_status(F.col("status")).alias("http"))
+
+
 # conditions, streams
 
 
@@ -388,6 +452,9 @@ def stream_chain_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     if base is None:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
         base = f"file://{tempfile.mkdtemp(prefix='ledgerloom-stream-')}"
     base = f"{base}/stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf}/events.parquet")

@@ -40,7 +40,8 @@ def events(ops: DataFrame, key: bytes = crypto.FIXTURE_KEY) -> DataFrame:
                 raise ValueError(f"op {row.op_id} of {world} comes after {last}")
             last = row.op_id
             if row.verb == "delete":
-                g, seq, body, run.chain = g + 1, 0, "", None
+                if seq:  # a delete of a world that is not there is refused
+                    g, seq, body, run.chain = g + 1, 0, "", None
                 continue
             if row.verb == "append" and not seq:
                 continue

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.api import Store, tier_of
 from ledgerloom.functions import crypto, paths
-from ledgerloom.operators import chain, feed, ledger, retention, state
+from ledgerloom.operators import chain, conditional, feed, ledger, policy, retention, state
 from ledgerloom.sources import oplog
 
 ROWS = [(1, "home/a", "replace", "v1"), (2, "home/a", "append", "+é"), (3, "home/b", "append", "x"), (4, "home/a", "replace", "v1"), (5, "home/b", "replace", ""), (6, "home/a", "delete", ""), (7, "home/a", "delete", ""), (8, "home/a", "replace", "again"), (9, "home/b", "append", "end")]
@@ -162,3 +162,54 @@ def test_cursor_round_trip(spark):
     text = df.select("world", paths.cursor(X("world"), X("generation"), X("seq")).alias("c"))
     row = text.select("world", "c", paths.cursor_status(X("c")).alias("s"), paths.cursor_parts(X("c"))[0].alias("w")).first()
     assert row.c == "home/a%20b%20%C3%A9%2B%25@" + "a" * 32 + "=5" and row.s == "ok" and row.w == row.world
+
+
+def test_conditional_writes_without_conditions_give_the_chain(spark, ops, events):
+    """Refused deletes change no generation, so both mint the same tags."""
+    free = ops.withColumns({"if_match": F.lit(None).cast("string"), "if_none_match": F.lit(None).cast("string")})
+    got = {r.op_id: r.etag for r in conditional.outcomes(free).where("status = 'ok' and etag is not null").collect()}
+    assert got == {r.op_id: f"hmac-{r.hmac}" for r in events.where("event_type <> 'format'").collect()}
+
+
+def test_conditional_writes_against_a_plain_loop(spark, small):
+    from ledgerloom.plans import queries
+
+    stale, fold, state_of, want = ["hmac-stale"], {}, {}, {}
+    rows = sorted(oplog.events_ops(spark, small).withColumn("headers", crypto.canonical_headers(X("headers"))).collect(), key=lambda r: r.op_id)
+    for r in rows:
+        tag, lives = state_of.get(r.world, (None, 0))
+        match, none = (["*"] if r.op_id % 3 == 0 else stale if r.op_id % 7 == 0 else None), r.op_id % 5 == 0
+        if r.verb != "replace" and tag is None:
+            want[r.op_id] = "not_found"
+        elif match and (tag is None or match != ["*"]) or none and tag is not None:
+            want[r.op_id] = "precondition_failed"
+        else:
+            want[r.op_id] = "ok"
+            state_of[r.world] = (None, lives + 1) if r.verb == "delete" else ("some", lives)
+    assert {r.op_id: r.status for r in queries.if_match_outcomes(spark, small).collect()} == want and len(set(want.values())) == 3
+
+
+def test_own_keys_stay_out_of_the_plan(spark, ops):
+    key = b"a key of one's own, long enough for this"
+    store = Store(ops, key=key)
+    checked = store.verify()
+    assert checked.where("break_at is not null").count() == 0 and checked.count() == 3
+    inner, outer = crypto.pads(key)
+    plan = checked._jdf.queryExecution().toString().lower()
+    assert all(x not in plan for x in (key.decode(), key.hex(), inner.hex(), outer.hex()))
+    wrong = chain.verify(store.events.where("seq > 0"), crypto.FIXTURE_KEY)
+    assert wrong.where("break_at = 0").count() == wrong.count() == 2
+
+
+def test_reads_touch_their_worlds_only(spark, ops, tmp_path):
+    ops.write.parquet(str(tmp_path / "ops"))
+    read = Store(oplog.read_log(spark, str(tmp_path / "ops"))).read("home/a")
+    plan = read._jdf.queryExecution().toString()
+    assert read.count() == 1 and plan.count("FileScan") == plan.count("EqualTo(world,home/a)") > 0
+
+
+def test_stored_headers(spark):
+    given = [("X-My-B", "1"), ("cache-control", "old"), ("Cookie", "c"), ("Cache-Control", "new"), ("Expires", "e"), ("x-other", "o"), ("cf-ray", "r")]
+    df = spark.createDataFrame([(given,)], "headers array<struct<name:string,value:string>>")
+    row = df.select(policy.stored_headers(X("headers"), "x-my-*, cf-*", "expires").alias("h")).first()
+    assert [tuple(h) for h in row.h] == [("cache-control", "new"), ("x-my-b", "1")]
