@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..session import partitions, stash
 
 RING = 1024
 #: Event kinds, their verbs and HTTP names.
@@ -54,15 +55,15 @@ def changes(events: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def delivered(feed: DataFrame, partitions: int = 32) -> DataFrame:
-    """feed with delivery_id, 1 for the first change of all: counts of op ranges first, then ranks within each."""
-    ends = feed.agg(F.min("op_id").alias("lo"), F.max("op_id").alias("hi"))
-    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / partitions), F.lit(1))
-    f = feed.crossJoin(F.broadcast(ends.select("lo", width.alias("width")))).withColumn("range", F.floor((F.col("op_id") - F.col("lo")) / F.col("width"))).drop("lo", "width")
-    sums = f.groupBy("range").agg(F.count("*").alias("n"))
-    base = sums.select("range", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("n")).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("range").orderBy("op_id", "part", "seq"))
-    return f.withColumn("nth", nth).join(F.broadcast(base), "range").withColumn("delivery_id", F.col("base") + F.col("nth")).drop("range", "nth", "base")
+def delivered(feed: DataFrame) -> DataFrame:
+    """feed with delivery_id, 1 for the first change of all. Rows are dealt out by sampled ranges, sorted and stored; a row's
+    place in its range and the counts of the ranges before (one number a range) give its number."""
+    order = ["op_id", "part", "seq"]
+    f = feed.repartitionByRange(partitions(feed.sparkSession), *order).sortWithinPartitions(*order)
+    f = stash(f.withColumns({"range": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "feed")
+    sums = f.groupBy("range").agg(F.count("*").alias("n"), F.min("at").alias("low"))
+    base = sums.select("range", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("n") - F.col("low") + 1).alias("base"))
+    return f.join(F.broadcast(base), "range").withColumn("delivery_id", F.col("base") + F.col("at")).drop("range", "at", "base")
 
 
 def normalise(pattern: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..session import partitions, stash
 
 #: What an entry in memory is charged besides its parts.
 ENTRY_BYTES, HASH_BYTES = 128, 64
@@ -71,16 +72,14 @@ def growth(events: DataFrame) -> DataFrame:
     return rows.select("op_id", "world", (F.col("size") - F.col("before") + F.when(F.col("new"), F.col("size")).otherwise(0)).alias("grown"))
 
 
-def running(events: DataFrame, buckets: int = 64) -> DataFrame:
+def running(events: DataFrame) -> DataFrame:
     """op_id, world, grown, used: total use after each op, in the order of all ops, deletes aside.
 
-    A total order over everything is a running sum in two steps: sums of op ranges first, then within each range.
+    A total order over everything is a running sum in two steps: sums of sampled op ranges first, then within each range.
     """
     g = growth(events)
-    ends = g.agg(F.min("op_id").alias("lo"), F.max("op_id").alias("hi"))
-    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / buckets), F.lit(1))
-    g = g.crossJoin(F.broadcast(ends.select("lo", width.alias("width")))).withColumn("bucket", F.floor((F.col("op_id") - F.col("lo")) / F.col("width")))
-    sums = g.groupBy("bucket").agg(F.sum("grown").alias("s"))  # `buckets` rows
-    base = sums.select("bucket", (F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("s")).alias("base"))
-    within = F.sum("grown").over(Window.partitionBy("bucket").orderBy("op_id").rowsBetween(Window.unboundedPreceding, 0))
-    return g.withColumn("s", within).join(F.broadcast(base), "bucket").select("op_id", "world", "grown", (F.col("base") + F.col("s")).alias("used"))
+    g = stash(g.repartitionByRange(partitions(g.sparkSession), "op_id").withColumn("range", F.spark_partition_id()), "growth")
+    sums = g.groupBy("range").agg(F.sum("grown").alias("s"))  # a row a range
+    base = sums.select("range", (F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("s")).alias("base"))
+    within = F.sum("grown").over(Window.partitionBy("range").orderBy("op_id").rowsBetween(Window.unboundedPreceding, 0))
+    return g.withColumn("s", within).join(F.broadcast(base), "range").select("op_id", "world", "grown", (F.col("base") + F.col("s")).alias("used"))

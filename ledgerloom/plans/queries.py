@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto, paths
 from ..operators import chain, conditional, feed, ledger, policy, retention, state, timeline, usage
 from ..sources import oplog
+from ..session import shared_dir, stash
 from ..streaming import chain_stream
 
 #: Parameters of the queries below.
@@ -24,11 +25,17 @@ def _built(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return ops, chain.build(ops)
 
 
+def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """ops and their events, written once for queries that read them more than once."""
+    ops, events = _built(spark, sf)
+    return ops, stash(events, "events")
+
+
 def _live(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """ops, the events of lives that go on, and (world, generation) of these."""
+    """ops, the events of lives that go on, and (world, generation) of these; all but the ops are stored."""
     ops, events = _built(spark, sf)
     live = state.last_life(ops).select("world", state.generation(F.col("world"), F.col("live_g")).alias("generation"))
-    return ops, events.join(live, ["world", "generation"], "left_semi"), live
+    return ops, stash(events.join(live, ["world", "generation"], "left_semi"), "live-events"), stash(live, "live")
 
 
 def _cut_sha(events: DataFrame) -> DataFrame:
@@ -201,7 +208,7 @@ def chain_head(spark: SparkSession, sf: str) -> DataFrame:
 
 def chain_head_broken(spark: SparkSession, sf: str) -> DataFrame:
     """Of chains some of which are broken: only those that verify have a head."""
-    return chain.head(tampered(_built(spark, sf)[1]))
+    return chain.head(tampered(_stored(spark, sf)[1]))
 
 
 def chain_stamp(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,12 +312,12 @@ def quota_running(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def delete_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    ops, events = _built(spark, sf)
+    ops, events = _stored(spark, sf)
     return _cut_sha(ledger.build(ops, events))
 
 
 def delete_subject_proof(spark: SparkSession, sf: str) -> DataFrame:
-    ops, events = _built(spark, sf)
+    ops, events = _stored(spark, sf)
     out = chain.row_breaks(ledger.build(ops, events))
     value = lambda n: F.element_at(F.transform(F.filter("headers", lambda h: h["name"] == n), lambda h: h["value"]), 1)
     out = out.where("event_type = 'delete_intent'")
@@ -327,8 +334,8 @@ def recreate_generation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _feed(spark: SparkSession, sf: str) -> DataFrame:
-    ops, events = _built(spark, sf)
-    return feed.delivered(feed.changes(events, ledger.build(ops, events)))
+    ops, events = _stored(spark, sf)
+    return feed.delivered(feed.changes(events, stash(ledger.build(ops, events), "ledger")))
 
 
 def change_feed(spark: SparkSession, sf: str) -> DataFrame:
@@ -336,7 +343,7 @@ def change_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pattern_match(spark: SparkSession, sf: str) -> DataFrame:
-    f = feed.changes(chain.build(_ops(spark, sf)))
+    f = feed.changes(_stored(spark, sf)[1])
     out = None
     for p in ("*", "home/u/1*", "/home/u/10", "home/u/"):
         some = f.where(feed.matches(F.col("world"), p)).groupBy("verb").agg(F.count("*").alias("n")).select(F.lit(p).alias("pattern"), "verb", "n")
@@ -448,15 +455,7 @@ def stream_chain_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the streamed chain that the batch chain does not have, and the other way round: none."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-
-        base = f"file://{tempfile.mkdtemp(prefix='ledgerloom-stream-')}"
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf}/events.parquet")
     raw = spark.readStream.schema(source.schema).option("pathGlobFilter", "*events.parquet" if not sf.startswith("viewfs") else "*.parquet").parquet(sf)
     ops = oplog.events_ops_of(raw)
