@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import partitions, ship, stash
+
+__all__ = ["connected_components", "gram_hashes", "hubs", "partitions", "spread_join", "stash", "table"]
 
 #: Words end at these ASCII characters in every operator on words.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -21,32 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session without one (a test) gets a temporary folder."""
-    ship(spark)
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    path = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
-    if path is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    ship(spark)
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
