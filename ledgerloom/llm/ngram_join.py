@@ -7,7 +7,8 @@ vertical fragments. Documents with equal sets collapse into one class first, so
    common order. The order used here puts the low fragment first (rarest shingle first, by counts over all classes), then
    the others by hash; a class emits its low fragment and, where this is too short, as many more as its prefix needs. Only
    shingles of its prefix that two classes hold give candidates: the pairs where they are few, and otherwise a star around
-   the smallest, so a shingle of n classes gives n - 1 rows, not n squared. What sizes and a bitmap rule out goes: each
+   the class that has fewest shingles of its own, the likely source of the others, so a shingle of n classes gives n - 1
+   rows, not n squared. What sizes and a bitmap rule out goes: each
    class has BITS parities of its shingles, and two sets differ at least in as many shingles as their parities.
 2. Partial overlaps. The sets of the classes in pairs are cut into fragments; a pair's fragments meet by (class, fragment),
    each gives a partial overlap (a, b, count), and the counts are summed per pair: the links.
@@ -123,14 +124,16 @@ def components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int
     alone_low = F.col("low") - F.count(F.when(~F.col("late"), 1)).over(of_class)
     shared = shared.select("id", "n", "gram", "late", "low", n_prefix.alias("p"), F.row_number().over(order).alias("k"), alone_low.alias("alone"))
     # late shingles are only sent as far as the prefix reaches, so each of them is in it
-    prefix = stash(shared.where("late or k + alone <= p").select("id", "n", "gram"), "prefix")
-    many = stash(prefix.groupBy("gram").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1"), "many")
+    own = F.when(F.col("low") > 0, F.col("alone") / F.col("low")).otherwise(1.0).cast("float")  # share of shingles that no other class has
+    prefix = stash(shared.where("late or k + alone <= p").select("id", "n", "gram", own.alias("own")), "prefix")
+    many = prefix.groupBy("gram").agg(F.min(F.struct("own", "id")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    many = stash(many.select("gram", F.col("best.id").alias("center"), "n"), "many")
     # a shingle of few classes gives their pairs, one of many a star that connects them
     few, stars = prefix.join(many.where(F.col("n") <= FEW).select("gram"), "gram"), many.where(F.col("n") > FEW)
     x, y = few.alias("x"), few.alias("y")
     fits = f"x.id < y.id and {den} * x.n >= {num} * y.n and {den} * y.n >= {num} * x.n"
     pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    members = stash(prefix.drop("n").join(stars.select("gram", "center", F.col("n").alias("held")), "gram"), "members")
+    members = stash(prefix.select("id", "gram").join(stars.select("gram", "center", F.col("n").alias("held")), "gram"), "members")
     pairs = stash(pairs.union(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b"))).distinct(), "pairs")
     facts = read.select("row", "n", "bits")
     links = overlaps(rows, read, possible(pairs, facts, num, den), words, num, den)
