@@ -59,11 +59,13 @@ def content_sort(docs: DataFrame, id_col: str, text_col: str, whole: bool = Fals
         rows = rows.join(F.broadcast(hot), "hash", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("ways"))).drop("ways")
     else:
         rows = rows.withColumn("salt", F.lit(None).cast("long"))
-    ranged = rows.repartitionByRange(max(partitions(spark), 1), "start", "hash", "salt")
+    # a constant salt would be taken out of the window's keys but not of the ranges, which then would not serve it
+    order = ["start", "hash"] if hot is None else ["start", "hash", "salt"]
+    ranged = rows.repartitionByRange(max(partitions(spark), 1), *order)
     if whole:
         ranged = ranged.withColumn("norm", normalised(F.col("row")[text_col]))
     # the window needs equal rows together, which the ranges give: it adds the sort and no exchange
-    run = Window.partitionBy("start", "hash", "salt", "norm").orderBy(F.col("id").asc_nulls_last())
+    run = Window.partitionBy(*order, "norm").orderBy(F.col("id").asc_nulls_last())
     all_of = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return ranged.withColumns({"head": F.first("id").over(run), "nth": F.row_number().over(run), "size": F.count("*").over(all_of)}), hot is not None
 
