@@ -80,9 +80,14 @@ class Store:
         return usage.df(self.du(), self.quota)
 
     def verify(self) -> DataFrame:
-        """Every live chain and the ledger, kept bodies included."""
+        """Every live chain and the ledger, kept and current bodies included."""
         cas = self.bodies.select("world", "generation", "body_sha256", "body_size")
-        return chain.verify(self.events, self.key, cas, self.floors).union(chain.verify(self.ledger, self.key))
+        worlds = chain.complete(chain.verify(self.events, self.key, cas, self.floors), self.events, cas, self.floors, self.live, state.stage(self.ops))
+        return worlds.union(chain.verify(self.ledger, self.key))
+
+    def verify_since(self, marks: DataFrame) -> DataFrame:
+        """What follows the verified heads in marks (world, generation, seq, hmac) of the live chains."""
+        return chain.verify_since(self.events, marks, self.key)
 
     def chain_head(self) -> DataFrame:
         return chain.head(self.events, self.key)

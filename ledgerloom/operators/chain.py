@@ -34,9 +34,9 @@ class Fold:
     def __init__(self, key: bytes):
         self.key, self.chain, self.prev, self.sha, self.size, self.at, self.done = key, None, "", hashlib.sha256(), 0, 0, set()
 
-    def row(self, seq, timestamp, event_type, target, body_sha, size, content_type, headers, op_id) -> tuple:
+    def row(self, seq, timestamp, event_type, target, body_sha, size, content_type, headers, op_id, meta=None) -> tuple:
         world, generation = self.chain
-        meta = crypto.meta_sha256_of(content_type, headers)
+        meta = meta or crypto.meta_sha256_of(content_type, headers)
         mac = crypto.event_hmac_of(self.key, self.prev, world, timestamp, event_type, target, generation, body_sha, str(size), content_type, meta)
         out = (world, generation, seq, timestamp, event_type, target, body_sha, size, content_type, meta, mac, self.prev, [{"name": n, "value": v} for n, v in headers], op_id)
         self.prev = mac
@@ -130,13 +130,14 @@ def _subject_break() -> tuple[Column, Column]:
     return expected.when(other, "delete-subject-body-sha256-matches-row"), actual.when(other, "delete-subject-body-sha256-mismatch")
 
 
-def row_breaks(events: DataFrame, key: bytes = crypto.FIXTURE_KEY, cas: DataFrame | None = None, floors: DataFrame | None = None) -> DataFrame:
+def row_breaks(events: DataFrame, key: bytes = crypto.FIXTURE_KEY, cas: DataFrame | None = None, floors: DataFrame | None = None, linked: str | None = None) -> DataFrame:
     """events with idx, expected and actual: the first of a row's checks that fails, null if none does.
 
-    cas (world, generation, body_sha256, body_size) and floors (world, generation, floor) add the check of kept bodies.
+    cas (world, generation, body_sha256, body_size) and floors (world, generation, floor) add the check of kept bodies;
+    linked: a column with the HMAC before a row, where it is not among the events.
     """
     chain = Window.partitionBy("world", "generation").orderBy("seq")
-    prev = F.coalesce(F.lag("hmac").over(chain), F.lit(""))
+    prev = F.coalesce(F.lag("hmac").over(chain), *([F.col(linked)] if linked else []), F.lit(""))
     out = events.withColumn("linked", prev).withColumn("idx", (F.row_number().over(chain) - 1).cast("long"))
     kind = F.col("event_type")
     bears, fmt, deletes = kind.isin("put", "append"), kind == "format", kind.isin("delete_intent", "delete_commit", "delete_commit_failed")
@@ -167,9 +168,9 @@ def row_breaks(events: DataFrame, key: bytes = crypto.FIXTURE_KEY, cas: DataFram
     return out.withColumns({"expected": expected, "actual": actual})
 
 
-def verify(events: DataFrame, key: bytes = crypto.FIXTURE_KEY, cas: DataFrame | None = None, floors: DataFrame | None = None) -> DataFrame:
+def verify(events: DataFrame, key: bytes = crypto.FIXTURE_KEY, cas: DataFrame | None = None, floors: DataFrame | None = None, linked: str | None = None) -> DataFrame:
     """world, generation, events, genesis, latest, break_at, expected, actual; the last three null for a valid chain."""
-    rows = row_breaks(events, key, cas, floors)
+    rows = row_breaks(events, key, cas, floors, linked)
     broken = F.when(F.col("expected").isNotNull(), F.struct("idx", "expected", "actual"))
     out = rows.groupBy("world", "generation").agg(
         F.count("*").alias("events"), F.min_by("hmac", "seq").alias("genesis"), F.max_by("hmac", "seq").alias("latest"), F.min(broken).alias("b")
@@ -177,6 +178,70 @@ def verify(events: DataFrame, key: bytes = crypto.FIXTURE_KEY, cas: DataFrame |
     return out.select("world", "generation", "events", "genesis", "latest", F.col("b.idx").alias("break_at"), F.col("b.expected").alias("expected"), F.col("b.actual").alias("actual"))
 
 
+def complete(report: DataFrame, events: DataFrame, cas: DataFrame, floors: DataFrame, live: DataFrame | None = None, stages: DataFrame | None = None) -> DataFrame:
+    """verify()'s report with what only a whole chain shows: a floor without its event, kept bodies that no event at or
+    above the floor refers to, a live world without events, and a stage that is not the last body. A break that the report
+    has stays.
+
+    cas and floors as for row_breaks; live: (world, generation) of the worlds that exist; stages: their bodies.
+    """
+    chain = ["world", "generation"]
+    held = events.where("event_type in ('put', 'append')").join(floors, chain).where("seq >= floor")
+    bare = floors.join(held.where("seq = floor").select(*chain), chain, "left_anti").select(*chain, F.col("floor").alias("bare"))
+    unknown = cas.join(held.select(*chain, "body_sha256"), [*chain, "body_sha256"], "left_anti").select(*chain).distinct().withColumn("unknown", F.lit(True))
+    if live is not None:
+        report = report.join(live.select(*chain), chain, "full")
+    out = report.join(bare, chain, "left").join(unknown, chain, "left").join(floors, chain, "left")
+    n = F.coalesce("events", F.lit(0)).cast("long")
+    none = F.col("events").isNull()
+    checks = [
+        (none, F.lit(0), F.lit("at-least-one-event"), F.lit("no-events")),
+        (F.col("bare").isNotNull(), n, F.concat(F.lit("body-bearing event at first_retained_seq "), F.col("bare").cast("string")), F.lit("missing-retention-floor-event")),
+        (F.col("unknown") & F.col("floor").isNull(), n, F.lit("retention floor"), F.lit("unset-retention-floor")),
+        (F.col("unknown").isNotNull(), n, F.lit("all CAS bodies referenced by retained events"), F.lit("unreferenced-cas-body")),
+    ]
+    if stages is not None:
+        last = events.where("event_type in ('put', 'append')").groupBy(*chain).agg(F.max_by(F.struct("body_sha256", "size"), "seq").alias("last"))
+        body = stages.select(*chain, F.sha2("body", 256).alias("sha"), F.octet_length("body").cast("long").alias("n"))
+        out = out.join(last, chain, "left").join(body, chain, "left")
+        label = lambda what, c: F.concat(F.lit(f"live-body-{what}-"), c.cast("string"))
+        sha, want = F.col("sha"), F.col("last.body_sha256")
+        checks += [
+            (F.col("last").isNull() & (F.col("n") > 0), n - 1, F.lit("latest body-bearing event"), label("sha256", sha)),
+            (sha != want, n - 1, label("sha256", want), label("sha256", sha)),
+            (F.col("n") != F.col("last.size"), n - 1, label("size", F.col("last.size")), label("size", F.col("n"))),
+        ]
+    at, expected, actual = (F.when(F.col("break_at").isNotNull(), F.col(c)) for c in ("break_at", "expected", "actual"))
+    for test, where, e, a in checks:
+        at, expected, actual = at.when(test, where), expected.when(test, e), actual.when(test, a)
+    return out.select(*chain, n.alias("events"), "genesis", "latest", at.cast("long").alias("break_at"), expected.alias("expected"), actual.alias("actual"))
+
+
+def verify_since(events: DataFrame, marks: DataFrame, key: bytes = crypto.FIXTURE_KEY) -> DataFrame:
+    """verify()'s report of what follows verified heads, for logs that grow.
+
+    marks: world, generation, seq, hmac (bare) of the last row that was verified of a chain; it must still be there as it
+    was. Rows before it are not read again, chains without a mark are verified whole; events and break_at count the rows that
+    are new.
+    """
+    chain = ["world", "generation"]
+    known = marks.select(*chain, F.col("seq").alias("mark"), F.col("hmac").alias("seen"))
+    rest = events.join(known, chain, "left").where("mark is null or seq >= mark")
+    # a chain's mark is looked at even where the row, or all of the chain, has gone
+    there = known.join(rest.where("seq = mark").select(*chain, F.col("hmac").alias("found")), chain, "left")
+    lost = there.where("found is null or found <> seen").select(*chain, _labelled(F.col("seen")).alias("want"), F.coalesce(_labelled(F.col("found")), F.lit("no-events")).alias("got"))
+    first = Window.partitionBy(*chain).orderBy("seq")
+    rows = rest.withColumn("before", F.when(F.col("mark").isNotNull(), F.lag("hmac").over(first)))
+    report = verify(rows.where("mark is null or seq > mark").drop("mark", "seen"), key, linked="before")
+    out = report.join(lost, chain, "full").join(known, chain, "full")
+    changed = F.col("want").isNotNull()
+    pick = lambda c, other: F.when(changed, other).otherwise(F.col(c)).alias(c)
+    return out.select(
+        *chain, F.coalesce("events", F.lit(0)).cast("long").alias("events"), F.coalesce("latest", "seen").alias("latest"),
+        pick("break_at", F.lit(0).cast("long")), pick("expected", F.col("want")), pick("actual", F.col("got")),
+    )
+
+
 def tail_verify(events: DataFrame, key: bytes = crypto.FIXTURE_KEY) -> DataFrame:
     """world, generation, seq, ok: the check of ordinary reads, which looks at the last row and its link alone."""
     chain = Window.partitionBy("world", "generation").orderBy("seq")

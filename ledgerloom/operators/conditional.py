@@ -40,8 +40,17 @@ def holds(if_match: str | None, if_none_match: str | None, etag: str | None) ->
 SCHEMA = "op_id long, world string, status string, etag string"
 
 
-def outcomes(ops: DataFrame, key: bytes = crypto.FIXTURE_KEY) -> DataFrame:
-    """op_id, world, status (ok, not_found, precondition_failed), etag after it; ops with if_match and if_none_match."""
+#: Bytes that a world's body may have, by default.
+WORLD_BYTES = 64 * 1024 * 1024
+
+
+def outcomes(ops: DataFrame, key: bytes = crypto.FIXTURE_KEY, most: int = WORLD_BYTES) -> DataFrame:
+    """op_id, world, status (ok, not_found, precondition_failed, too_large), etag after it; ops with if_match and
+    if_none_match; most: bytes of a body.
+
+    A replace is first refused for its size, then by its conditions. Appends and deletes fail their conditions first, then
+    as not found, appends last for the size that the body would have. A refused op changes nothing.
+    """
     ship(ops.sparkSession)
     cols = ["op_id", "timestamp", "world", "verb", "body", "content_type", "headers", "if_match", "if_none_match"]
     rows = ops.withColumn("headers", crypto.canonical_headers(F.col("headers"))).select(*cols).repartition("world").sortWithinPartitions("world", "op_id")
@@ -56,10 +65,15 @@ def outcomes(ops: DataFrame, key: bytes = crypto.FIXTURE_KEY) -> DataFrame:
                 if w != world:
                     world, g, seq = w, 0, 0
                 etag = f"hmac-{state.prev}" if seq else None
-                if verb != "replace" and etag is None:
-                    status = "not_found"
+                size = len((body or "").encode()) + (state.size if verb == "append" and seq else 0)
+                if verb == "replace" and size > most:
+                    status = "too_large"
                 elif not holds(if_match, if_none_match, etag):
                     status = "precondition_failed"
+                elif verb != "replace" and etag is None:
+                    status = "not_found"
+                elif verb == "append" and size > most:
+                    status = "too_large"
                 else:
                     status = "ok"
                 if status == "ok" and verb == "delete":

@@ -1,7 +1,8 @@
 """Deletes: what each took with it, and the ledger, a chain of its own with an intent and a commit per delete.
 
 The ledger is the one chain that all deletes share and so the one serial pass over all of them; its rows are small, and
-everything that can be found out about a delete (the subject's head, from its own chain) is joined before the pass.
+all that does not depend on the row before (the subject's head, headers and their digests) is made before the pass, which
+only numbers and chains.
 """
 
 from __future__ import annotations
@@ -51,8 +52,10 @@ def usage_row(ops: DataFrame) -> DataFrame:
 def build(ops: DataFrame, events: DataFrame, key: bytes = crypto.FIXTURE_KEY, failed: tuple[int, ...] = ()) -> DataFrame:
     """The ledger's events. failed: op_ids whose removal is made to fail, which are committed as such."""
     ship(ops.sparkSession)
-    rows = subjects(ops, events).select("op_id", "timestamp", "world", "generation", "seq", "body_sha256", "hmac")
-    rows = rows.withColumn("failed", F.col("op_id").isin(list(failed)) if failed else F.lit(False))
+    rows = subjects(ops, events).withColumn("failed", F.col("op_id").isin(list(failed)) if failed else F.lit(False))
+    proof = zip(SUBJECT, ("world", "generation", "seq", "body_sha256", "hmac"), strict=True)
+    rows = rows.withColumn("headers", F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, c in sorted(proof)]))
+    rows = rows.withColumn("meta", crypto.meta_sha256(F.lit(""), F.col("headers"))).select("op_id", "timestamp", "world", "body_sha256", "headers", "meta", "failed")
     name = ledger_generation()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,13 +63,13 @@ def build(ops: DataFrame, events: DataFrame, key: bytes = crypto.FIXTURE_KEY, fa
         state.chain = (paths.LEDGER, name)
         for batch in batches:
             out = []
-            for op_id, ts, world, gen, at, sha, mac, bad in batch.itertuples(index=False, name=None):
+            for op_id, ts, world, sha, headers, meta, bad in batch.itertuples(index=False, name=None):
                 if seq == 1:
                     out.append(state.row(1, ts, "format", paths.LEDGER, crypto.EMPTY_SHA, 0, "", [(FORMAT_HEADER, FORMAT_VERSION)], op_id))
-                headers = sorted(zip(SUBJECT, (world, gen, str(at), sha, mac), strict=True))
+                own = [(h["name"], h["value"]) for h in headers]
                 for kind in ("delete_intent", "delete_commit_failed" if bad else "delete_commit"):
                     seq += 1
-                    out.append(state.row(seq, ts, kind, world, sha, 0, "", headers, op_id))
+                    out.append(state.row(seq, ts, kind, world, sha, 0, "", own, op_id, meta))
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     return rows.repartition(1).sortWithinPartitions("op_id").mapInPandas(fold, EVENTS)

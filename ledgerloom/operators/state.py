@@ -32,6 +32,22 @@ def numbered(ops: DataFrame) -> DataFrame:
     return out.withColumn("g", F.coalesce(F.sum((deletes & F.col("accepted")).cast("long")).over(before), F.lit(0))).drop("tries")
 
 
+def create_on_append(ops: DataFrame) -> DataFrame:
+    """ops in which an append to a world that is not there is led by a replace with an empty body.
+
+    Every op gets twice its op_id plus one; the added replace has the even number before.
+    """
+    before = Window.partitionBy("world").orderBy("op_id").rowsBetween(Window.unboundedPreceding, -1)
+    # every append creates, so a world is there unless it is new or the op before was a delete
+    last = F.last("verb").over(before)
+    makes = (F.col("verb") == "append") & (last.isNull() | (last == "delete"))
+    rows = ops.withColumn("makes", makes)
+    added = F.struct((F.col("op_id") * 2).alias("op_id"), F.lit("replace").alias("verb"), F.lit("").alias("body"))
+    own = F.struct((F.col("op_id") * 2 + 1).alias("op_id"), F.col("verb").alias("verb"), F.col("body").alias("body"))
+    rows = rows.withColumn("each", F.explode(F.when(F.col("makes"), F.array(added, own)).otherwise(F.array(own))))
+    return rows.select(*[F.col(f"each.{c}").alias(c) if c in ("op_id", "verb", "body") else F.col(c) for c in ops.columns])
+
+
 def outcomes(ops: DataFrame) -> DataFrame:
     """op_id, world, verb, status."""
     return numbered(ops).select("op_id", "world", "verb", F.when(F.col("accepted"), "ok").otherwise("not_found").alias("status"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import ledger, retention
 from ..session import partitions, stash
 
 #: What an entry in memory is charged besides its parts.
@@ -77,7 +78,44 @@ def running(events: DataFrame) -> DataFrame:
 
     A total order over everything is a running sum in two steps: sums of sampled op ranges first, then within each range.
     """
-    g = growth(events)
+    return summed(growth(events))
+
+
+def net_growth(ops: DataFrame, events: DataFrame, keep: int = retention.KEEP) -> DataFrame:
+    """op_id, world, grown: bytes that each accepted op adds or, if negative, frees: the stage against the one before, its
+    body where the chain does not hold it, less the body that retention prunes then; a delete frees all of its world.
+
+    Of the body events of a chain the n-th drops the body of the one `keep` before it, unless an event between has it too.
+    """
+    chain, same = Window.partitionBy("world", "generation").orderBy("seq"), Window.partitionBy("world", "generation", "body_sha256").orderBy("seq")
+    rows = events.where("event_type in ('put', 'append')").withColumn("n", F.row_number().over(chain))
+    far = lambda gap: gap.isNull() | (gap > keep)
+    rows = rows.withColumns({"new": far(F.col("n") - F.lag("n").over(same)), "goes": far(F.lead("n").over(same) - F.col("n"))})
+    freed = F.coalesce(F.lag(F.when(F.col("goes"), F.col("size")), keep).over(chain), F.lit(0))
+    grown = F.col("size") - F.coalesce(F.lag("size").over(chain), F.lit(0)) + F.when(F.col("new"), F.col("size")).otherwise(0) - freed
+    rows = rows.select("op_id", "world", "generation", grown.alias("grown"))
+    held = rows.groupBy("world", "generation").agg(F.sum("grown").alias("held"))
+    gone = ledger.accepted_deletes(ops).join(held, ["world", "generation"]).select("op_id", "world", (-F.col("held")).alias("grown"))
+    return rows.select("op_id", "world", "grown").union(gone)
+
+
+def decided(ops: DataFrame, events: DataFrame, quota: int, keep: int = retention.KEEP) -> DataFrame:
+    """op_id, world, grown, used, status: the ops up to the first that a quota refuses (quota_exceeded), with what is in use
+    after each; pruned bodies are credited, and an op that frees more than it adds is never refused.
+
+    What follows a refusal depends on it, op by op over all worlds: drop the refused op and ask again.
+    """
+    out = summed(net_growth(ops, events, keep))
+    over = (F.col("grown") > 0) & (F.col("used") > quota)
+    first = out.where(over).agg(F.min("op_id").alias("first"))  # a row
+    out = out.crossJoin(F.broadcast(first)).where("first is null or op_id <= first")
+    refused = F.coalesce(F.col("op_id") == F.col("first"), F.lit(False))
+    used = F.when(refused, F.col("used") - F.col("grown")).otherwise(F.col("used"))
+    return out.select("op_id", "world", "grown", used.alias("used"), F.when(refused, "quota_exceeded").otherwise("ok").alias("status"))
+
+
+def summed(g: DataFrame) -> DataFrame:
+    """op_id, world, grown with used: the sum of grown up to each op."""
     g = stash(g.repartitionByRange(partitions(g.sparkSession), "op_id").withColumn("range", F.spark_partition_id()), "growth")
     sums = g.groupBy("range").agg(F.sum("grown").alias("s"))  # a row a range
     base = sums.select("range", (F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("s")).alias("base"))

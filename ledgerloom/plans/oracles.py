@@ -130,6 +130,14 @@ checked AS (SELECT *, CASE
     WHEN NOT regexp_full_match(timestamp, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d\\.\\d{{3}}Z') THEN ['timestamp-sqlite-utc-ms', 'timestamp-' || timestamp]
     WHEN hmac <> real_hmac THEN ['hmac-' || real_hmac, 'hmac-' || hmac] END AS broken FROM hashed)"""
 
+#: What is in use after each op: of each chain the current body and the distinct ones of its last three body events.
+_USED = f"""{_STATE}, shas AS (SELECT op_id, world, generation, seq, strlen(full_body) AS n, sha256(full_body) AS sha FROM bodies),
+last_three AS (SELECT DISTINCT b.op_id, b.world, b.generation, b.seq, b.n AS now, x.sha, x.n FROM shas b JOIN shas x ON x.world = b.world AND x.generation = b.generation AND x.seq BETWEEN b.seq - 2 AND b.seq),
+held AS (SELECT op_id, world, generation, seq, max(now) + sum(n) AS held FROM last_three GROUP BY ALL),
+grows AS (SELECT op_id, world, held - coalesce(lag(held) OVER (PARTITION BY world, generation ORDER BY seq), 0) AS grown FROM held
+  UNION ALL SELECT a.op_id, a.world, -max_by(h.held, h.seq) FROM accepted a JOIN held h USING (world, generation) WHERE a.verb = 'delete' AND a.ok GROUP BY ALL),
+used AS (SELECT op_id, world, grown::BIGINT AS grown, sum(grown) OVER (ORDER BY op_id)::BIGINT AS used FROM grows)"""
+
 #: The ledger in usage reports, from the number of deletes alone.
 _LEDGER_USE = "(SELECT 'var/log/deletes' AS world, 0 AS total, 0 AS current, 0 AS retained, (1 + 2 * count(*))::BIGINT AS events FROM accepted WHERE verb = 'delete' AND ok HAVING count(*) > 0)"
 _quoted = lambda names: ", ".join(f"'{n}'" for n in names)
@@ -210,6 +218,30 @@ ORACLES = {
     "quota_running": f"""{_STATE}, g AS (SELECT op_id, world, strlen(full_body) - coalesce(lag(strlen(full_body)) OVER (PARTITION BY world, g ORDER BY seq), 0)
         + CASE WHEN row_number() OVER (PARTITION BY world, g, sha256(full_body) ORDER BY seq) = 1 THEN strlen(full_body) ELSE 0 END AS grown FROM bodies)
       SELECT op_id, world, grown::BIGINT AS grown, sum(grown) OVER (ORDER BY op_id)::BIGINT AS used FROM g""",
+    "storage_used": f"{_USED} SELECT * FROM used",
+    "quota_decisions": f"""{_USED}, first AS (SELECT min(op_id) AS first FROM used WHERE grown > 0 AND used > 900)
+      SELECT op_id, world, grown, CASE WHEN op_id = first THEN used - grown ELSE used END AS used, CASE WHEN op_id = first THEN 'quota_exceeded' ELSE 'ok' END AS status FROM used, first WHERE first IS NULL OR op_id <= first""",
+    "world_limits": """WITH RECURSIVE o AS (SELECT event_id AS op_id, 'home/u/' || user_id AS world, CASE WHEN event_type IN ('signup', 'purchase') THEN 'replace' WHEN event_type IN ('view', 'click') THEN 'append' ELSE 'delete' END AS verb,
+        strlen(coalesce(props, '')) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+      f AS (SELECT op_id, world, k, CASE WHEN verb <> 'replace' THEN 'not_found' WHEN n > 60 THEN 'too_large' ELSE 'ok' END AS status, CASE WHEN verb = 'replace' AND n <= 60 THEN n END AS held FROM o WHERE k = 1
+        UNION ALL
+        SELECT o.op_id, o.world, o.k, CASE WHEN verb = 'replace' THEN CASE WHEN n > 60 THEN 'too_large' ELSE 'ok' END WHEN held IS NULL THEN 'not_found' WHEN verb = 'append' AND held + n > 60 THEN 'too_large' ELSE 'ok' END,
+          CASE verb WHEN 'replace' THEN CASE WHEN n > 60 THEN held ELSE n END WHEN 'append' THEN CASE WHEN held + n > 60 THEN held ELSE held + n END END
+        FROM f JOIN o ON o.world = f.world AND o.k = f.k + 1)
+      SELECT op_id, world, status FROM f""",
+    "append_or_create": f"""{_STATE}, c AS (SELECT *, lag(verb) OVER (PARTITION BY world ORDER BY op_id) AS prior FROM ops)
+      SELECT 2 * op_id + 1 AS op_id, world, verb, CASE WHEN verb = 'delete' AND coalesce(prior, 'delete') = 'delete' THEN 'not_found' ELSE 'ok' END AS status FROM c
+      UNION ALL SELECT 2 * op_id, world, 'replace', 'ok' FROM c WHERE verb = 'append' AND coalesce(prior, 'delete') = 'delete'""",
+    "verify_complete": f"""{_LIVE} {_KEPT}, r AS (SELECT world, generation, count(*) AS events, min_by(hmac, seq) AS genesis, max_by(hmac, seq) AS latest, max_by(body_sha256, seq) AS sha FROM live_events GROUP BY ALL),
+      j AS (SELECT r.*, floor, s.body, CASE right(world, 1) WHEN '5' THEN 5 WHEN '3' THEN 3 WHEN '7' THEN 7 END AS k FROM r JOIN floors USING (world, generation) JOIN stage s USING (world, generation))
+      SELECT world, generation, events, genesis, latest, CASE WHEN k = 7 THEN events - 1 WHEN k IS NOT NULL THEN events END AS break_at,
+        CASE k WHEN 5 THEN 'body-bearing event at first_retained_seq ' || (floor + 1000) WHEN 3 THEN 'all CAS bodies referenced by retained events' WHEN 7 THEN 'live-body-sha256-' || sha END AS expected,
+        CASE k WHEN 5 THEN 'missing-retention-floor-event' WHEN 3 THEN 'unreferenced-cas-body' WHEN 7 THEN 'live-body-sha256-' || sha256(body || 'x') END AS actual FROM j
+      UNION ALL SELECT 'home/none', '{"0" * 32}', 0, NULL, NULL, 0, 'at-least-one-event', 'no-events'""",
+    "verify_since": f"""{_CHAIN}, m AS (SELECT world, generation, hmac AS real, CASE WHEN right(world, 1) = '1' THEN '{_NONE}' ELSE hmac END AS seen, CASE WHEN right(world, 1) = '2' THEN 1003 ELSE 3 END AS mark FROM chain WHERE seq = 3),
+      r AS (SELECT c.world, c.generation, any_value(seen) AS seen, any_value(real) AS real, count(*) FILTER (mark IS NULL OR seq > mark) AS events, max_by(hmac, seq) FILTER (mark IS NULL OR seq > mark) AS newest FROM chain c LEFT JOIN m USING (world, generation) GROUP BY ALL)
+      SELECT world, generation, events, coalesce(newest, seen) AS latest, CASE WHEN k > 0 THEN 0 END::BIGINT AS break_at, CASE WHEN k > 0 THEN 'hmac-' || seen END AS expected, CASE k WHEN 1 THEN 'hmac-' || real WHEN 2 THEN 'no-events' END AS actual
+      FROM (SELECT *, CASE WHEN seen IS NULL THEN 0 WHEN right(world, 1) = '1' THEN 1 WHEN right(world, 1) = '2' THEN 2 ELSE 0 END AS k FROM r)""",
     "delete_ledger": f"{_LEDGER} SELECT {_COLS} FROM ledger",
     "delete_subject_proof": f"{_LEDGER} SELECT op_id, world, generation, seq, 'hmac-' || hmac AS subject_hmac, true AS valid FROM h",
     "recreate_generation": f"{_STATE} SELECT world, generation, dense_rank() OVER (PARTITION BY world ORDER BY g) AS life, min(op_id) AS first_op, count(*) AS events FROM bodies GROUP BY world, generation, g",

@@ -13,6 +13,7 @@ from ..streaming import chain_stream
 
 #: Parameters of the queries below.
 KEEP, QUOTA, REPLAY, RING = 3, 1_000_000_000, 20, 512
+SMALL_QUOTA, SMALL_WORLD = 900, 60
 NONE_SHA = "0" * 64
 
 
@@ -219,6 +220,26 @@ def chain_stamp_missing(spark: SparkSession, sf: str) -> DataFrame:
     return chain.stamp(_live(spark, sf)[1], 6).where("hmac is null").select("world", "generation", "requested", "observed")
 
 
+def verify_complete(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies nobody refers to, floors without an event, changed stages and a world without events, by the world's name."""
+    ops, events, live = _live(spark, sf)
+    ends, cas = (lambda c: F.col("world").endswith(c)), retention.kept(events, KEEP).drop("last")
+    stray = live.where(ends("3")).select("world", "generation", F.lit(NONE_SHA).alias("body_sha256"), F.lit(1).cast("long").alias("body_size"))
+    floors = retention.floors(events, KEEP).withColumn("floor", F.when(ends("5"), F.col("floor") + 1000).otherwise(F.col("floor")))
+    changed = state.stage(ops).withColumn("body", F.when(ends("7"), F.concat("body", F.lit("x"))).otherwise(F.col("body")))
+    live = live.union(spark.createDataFrame([("home/none", "0" * 32)], "world string, generation string"))
+    report = chain.verify(events, cas=cas, floors=floors)
+    return chain.complete(report, events, cas.union(stray), floors, live, changed)
+
+
+def verify_since(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks at the third row; some say another HMAC, some name a row that is not there."""
+    events = _stored(spark, sf)[1]
+    ends = lambda c: F.col("world").endswith(c)
+    marks = events.where("seq = 3").select("world", "generation", F.when(ends("2"), F.lit(1003)).otherwise(F.lit(3)).cast("long").alias("seq"), F.when(ends("1"), F.lit(NONE_SHA)).otherwise(F.col("hmac")).alias("hmac"))
+    return chain.verify_since(events, marks)
+
+
 def live_body_check(spark: SparkSession, sf: str) -> DataFrame:
     ops, events, _ = _live(spark, sf)
     changed = state.stage(ops).withColumn("body", F.when(F.col("world").endswith("7"), F.concat("body", F.lit("x"))).otherwise(F.col("body")))
@@ -308,6 +329,16 @@ def quota_running(spark: SparkSession, sf: str) -> DataFrame:
     return usage.running(chain.build(_ops(spark, sf)))
 
 
+def storage_used(spark: SparkSession, sf: str) -> DataFrame:
+    ops, events = _stored(spark, sf)
+    return usage.summed(usage.net_growth(ops, events, KEEP))
+
+
+def quota_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    ops, events = _stored(spark, sf)
+    return usage.decided(ops, events, SMALL_QUOTA, KEEP)
+
+
 # deletes
 
 
@@ -451,6 +482,15 @@ def if_match_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return conditional.outcomes(ops).select("op_id", "world", "status")
 
 
+def world_limits(spark: SparkSession, sf: str) -> DataFrame:
+    free = _ops(spark, sf).withColumns({"if_match": F.lit(None).cast("string"), "if_none_match": F.lit(None).cast("string")})
+    return conditional.outcomes(free, most=SMALL_WORLD).select("op_id", "world", "status")
+
+
+def append_or_create(spark: SparkSession, sf: str) -> DataFrame:
+    return state.outcomes(state.create_on_append(_ops(spark, sf)))
+
+
 def stream_chain_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the streamed chain that the batch chain does not have, and the other way round: none."""
     import uuid

@@ -179,10 +179,10 @@ def test_conditional_writes_against_a_plain_loop(spark, small):
     for r in rows:
         tag, lives = state_of.get(r.world, (None, 0))
         match, none = (["*"] if r.op_id % 3 == 0 else stale if r.op_id % 7 == 0 else None), r.op_id % 5 == 0
-        if r.verb != "replace" and tag is None:
-            want[r.op_id] = "not_found"
-        elif match and (tag is None or match != ["*"]) or none and tag is not None:
+        if match and (tag is None or match != ["*"]) or none and tag is not None:
             want[r.op_id] = "precondition_failed"
+        elif r.verb != "replace" and tag is None:
+            want[r.op_id] = "not_found"
         else:
             want[r.op_id] = "ok"
             state_of[r.world] = (None, lives + 1) if r.verb == "delete" else ("some", lives)
@@ -213,3 +213,38 @@ def test_stored_headers(spark):
     df = spark.createDataFrame([(given,)], "headers array<struct<name:string,value:string>>")
     row = df.select(policy.stored_headers(X("headers"), "x-my-*, cf-*", "expires").alias("h")).first()
     assert [tuple(h) for h in row.h] == [("cache-control", "new"), ("x-my-b", "1")]
+
+
+def test_quota_against_a_plain_loop(spark, small):
+    from ledgerloom.operators import usage
+
+    ops = oplog.events_ops(spark, small)
+    for keep, quota in ((1, 3000), (2, 10**9), (3, 5000)):
+        worlds, used, want = {}, 0, {}
+        for r in sorted(ops.collect(), key=lambda r: r.op_id):
+            old, kept = worlds.get(r.world, (None, []))
+            if r.verb != "replace" and old is None:
+                continue
+            new = None if r.verb == "delete" else r.body if r.verb == "replace" else old + r.body
+            then = [] if new is None else [*kept, new][-keep:]
+            grown = sum(map(len, {*then})) + len(new or "") - sum(map(len, {*kept})) - len(old or "")
+            if grown > 0 and used + grown > quota:
+                want[r.op_id] = (grown, used, "quota_exceeded")
+                break
+            used += grown
+            want[r.op_id], worlds[r.world] = (grown, used, "ok"), (new, then)
+        got = {r.op_id: (r.grown, r.used, r.status) for r in usage.decided(ops, chain.build(ops), quota, keep).collect()}
+        assert got == want
+
+
+def test_new_rows_are_verified_from_the_mark_on(events):
+    marks = events.where("seq = 2").select("world", "generation", "seq", "hmac")
+    assert chain.verify_since(events, marks).where("break_at is not null").count() == 0
+    spoilt = events.withColumn("size", F.when(X("seq") == 3, X("size") + 1).otherwise(X("size")))
+    found = chain.verify_since(spoilt, marks).where("break_at is not null").collect()
+    chains = spoilt.where("seq = 3").count()
+    assert len(found) == chains > 0 and all(r.break_at == 0 and r.expected.startswith("hmac-") for r in found)
+    # a break before the mark was somebody else's to find
+    before = events.withColumn("size", F.when(X("seq") == 1, X("size") + 1).otherwise(X("size")))
+    assert chain.verify_since(before, marks).where("break_at is not null").count() == 0
+    assert chain.verify_since(events.where("false"), marks).where("actual = 'no-events'").count() == marks.count()
