@@ -5,8 +5,9 @@ is kept, and a softmax over these gives the window's language. The network is tr
 sample of labelled documents; Spark then applies it to every window of every whole text in batches. A document's
 probabilities are the mean over its windows, weighted by their bytes.
 
-Bound of the sample: about `per_language` documents of each learned language, chosen by a hash of the identifier, and of
-each of these `pieces` passages of `piece_chars` characters, spread evenly over the text.
+Bound of the sample: at most `per_language` documents of each of the `most_languages` commonest labels, chosen by a hash of
+identifier and text, and of each of these `pieces` passages of `piece_chars` characters, spread evenly over the text. Rarer
+labels than those are not learned.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; without any labelled text all are; repeated
 rows are judged alike; a null identifier is not held out and stays; ties go to the first language in byte order; extra
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -121,20 +122,27 @@ class ByteCNN:
         return grad
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, pieces: int = 4, piece_chars: int = 160) -> ByteCNN | None:
-    """From the text and label of rows that are not held out."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    # a share of each language's rows that gives about per_language of them
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(counts.items())])
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).where("length(text) > 0")
-    room = F.greatest(F.length("text") - piece_chars, F.lit(0))
-    cuts = [F.substring(F.col("text"), (F.lit(1) + F.floor(room * (k / max(1, pieces - 1)))).cast("int"), F.lit(piece_chars)) for k in range(pieces)]
-    got = chosen.select("lang", F.array_distinct(F.array(*cuts)).alias("cuts"), F.xxhash64("id").alias("k")).collect()
-    got = sorted(got, key=lambda r: (r["lang"], r["k"] or 0, r["cuts"]))
+def sample(rows: DataFrame, id_col: str, text_col: str, lang_col: str, cuts: Column, per_language: int, most_languages: int) -> DataFrame:
+    """lang, k (a hash of identifier and text) and cuts of at most per_language different rows of each of the
+    most_languages commonest labels: neither a hot identifier nor copies take the others' places."""
+    rows = rows.where(F.length(text_col) > 0).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("k"), cuts.alias("cuts"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("k").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    # half more than is wanted, as the counts are estimates
+    shares = [F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.5 * per_language / max(1, r["n"])))) for r in counts]
+    chosen = rows.where(F.pmod("k", F.lit(1_000_003)) < F.coalesce(*shares, F.lit(0.0)) * 1_000_003)
+    once = chosen.groupBy("lang", "k").agg(F.min("cuts").alias("cuts"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
+    return once.withColumn("nth", nth).where(F.col("nth") <= per_language).drop("nth")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, pieces: int = 4, piece_chars: int = 160, most_languages: int = 200) -> ByteCNN | None:
+    """From the text and label of rows that are not held out: at most `pieces` passages of each of at most per_language
+    documents of each of the most_languages commonest labels."""
+    room = F.greatest(F.length(text_col) - piece_chars, F.lit(0))
+    cuts = [F.substring(F.col(text_col), (F.lit(1) + F.floor(room * (k / max(1, pieces - 1)))).cast("int"), F.lit(piece_chars)) for k in range(pieces)]
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
+    got = sample(rows, id_col, text_col, lang_col, F.array_distinct(F.array(*cuts)), per_language, most_languages).collect()
+    got = sorted(got, key=lambda r: (r["lang"], r["k"]))
     classes = sorted({r["lang"] for r in got})
     x, y = [], []
     for r in got:

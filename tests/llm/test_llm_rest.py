@@ -76,6 +76,21 @@ def test_language_id(spark, small, hard, none):
     assert {r.lang_pred for r in lang_cnn.predict(hard, None).collect()} == {"und"}
 
 
+def test_the_sample_is_bounded_and_even(spark):
+    from pyspark.sql import functions as F
+
+    copies = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text, many times").alias("text"), F.lit("aa").alias("lang"))
+    hot = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("hot "), F.col("id").cast("string")).alias("text"), F.lit("aa").alias("lang"))
+    others = spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id").cast("string")), F.when(F.col("id") % 3 == 0, "bb").otherwise("aa"))
+    rare = spark.range(1).select("id", F.lit("rare"), F.lit("cc"))
+    docs = copies.union(hot).union(others).union(rare)
+    got = lang_cnn.sample(docs, "doc_id", "text", "lang", F.array("text"), 300, 2).collect()
+    count = Counter(r.lang for r in got)
+    assert count == {"aa": 300, "bb": 300}
+    kinds = Counter(r.cuts[0].split()[0] for r in got if r.lang == "aa")
+    assert kinds["one"] <= 1 and kinds["hot"] > 100 and kinds["text"] > 60
+
+
 def test_gradient():
     import numpy as np
 
