@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import crypto, paths
 from ledgerloom.operators import conditional, feed
+from ledgerloom.plans import catalog
 
 #: A key in each namespace, and names that only look like what is refused.
 GOOD = [f"{n}/x{k}" for k, n in enumerate(paths.NAMESPACES)] + ["var/log/x", "usr/.hidden", "lib/x..y", "etc/%2Ex", "home/" + "y" * (paths.MOST_DISK_BYTES - 7)]
@@ -71,3 +72,30 @@ def test_preconditions():
 @pytest.mark.parametrize(("raw", "want"), [("", "*"), ("/", "*"), ("/*", "*"), ("home/a", "/home/a"), ("/home/a*", "/home/a*")])
 def test_patterns(raw, want):
     assert feed.normalise(raw) == want
+
+
+def test_cursor_parts_are_made_once(spark):
+    """The staged form says what the expression says, and its plan stays small: repeated parts made it run for minutes."""
+    hexes = "a" * 32
+    texts = ["", "=", "@", "@=", "a@b=c@d", "a=b@c=1", "home/a@x@" + hexes + "=1", f"home/a@{hexes}=1\n", f"home/a/@{hexes}=1", f"home/./a@{hexes}=1", f"home/%2e%2e@{hexes}=1", f"home/a+b@{hexes}=1", f"home/%zz@{hexes}=1"]
+    texts += [f"home/{'y' * n}@{hexes}=1" for n in (61, 62, 195, 196)] + [f"home/%2A~*@{hexes}=1", f"home/%2A~@{hexes}=1", f"home/a@{hexes}=-1", f"home/a@{hexes}=+1", f"tmp/a@{hexes}=1", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "c string")
+    out = paths.with_cursor_status(rows.withColumn("one", paths.cursor_status(F.col("c"))), "c")
+    assert out.columns == ["c", "one", "status"]
+    got = {r.c: r.status for r in out.collect() if r.status == r.one}
+    assert len(got) == len(texts)
+    assert got[f"home/%2A~@{hexes}=1"] == "ok" and got[f"home/%2A~*@{hexes}=1"] == "non-canonical" and got[f"home/{'y' * 196}@{hexes}=1"] == "invalid-world"
+    assert got["a@b=c@d"] == "invalid-world" and got[f"home/%zz@{hexes}=1"] == "invalid-world-utf8"
+    plan = catalog.QUERIES["cursor_parse"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("decode(") == 1
+
+
+@given(st.text(alphabet="ab@=\n%/", max_size=12))
+def test_cursor_text_is_split_at_its_last_marks(text):
+    import re
+
+    m = re.match(r"(?s)\A(.*)@([^@]*)=([^=]*)\Z", text)
+    head, _, seq = text.rpartition("=")
+    raw, _, generation = head.rpartition("@")
+    assert (m is not None) == ("=" in text and "@" in head)
+    assert m is None or m.groups() == (raw, generation, seq)
