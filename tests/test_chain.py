@@ -5,6 +5,7 @@ from ledgerloom.api import Store, tier_of
 from ledgerloom.functions import crypto, paths
 from ledgerloom.operators import chain, conditional, feed, ledger, policy, retention, state
 from ledgerloom.sources import oplog
+from ledgerloom.streaming import chain_stream
 
 ROWS = [(1, "home/a", "replace", "v1"), (2, "home/a", "append", "+é"), (3, "home/b", "append", "x"), (4, "home/a", "replace", "v1"), (5, "home/b", "replace", ""), (6, "home/a", "delete", ""), (7, "home/a", "delete", ""), (8, "home/a", "replace", "again"), (9, "home/b", "append", "end")]
 
@@ -269,3 +270,15 @@ def test_ledger_by_ranges_and_spans(spark, ops, small, monkeypatch):
     assert order(plain) == order(spans) and spans.where("expected is not null").count() > 4
     none = ops.where("verb <> 'delete'")
     assert ledger.build(none, chain.build(none)).count() == 0
+
+
+def test_stream_goes_on_over_batches(spark, ops, events, tmp_path):
+    """Chains, running digests, headers and lives go on from the state of the batch before."""
+    for k in range(5):
+        ops.where(f"op_id between {2 * k} and {2 * k + 1}").coalesce(1).write.parquet(str(tmp_path / "in" / f"f={k}"))
+    raw = spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    chain_stream.run_to_end(raw, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.select("batch").distinct().count() > 2
+    key = ["world", "generation", "seq"]
+    assert got.select(*events.columns).orderBy(*key).collect() == events.orderBy(*key).collect()
