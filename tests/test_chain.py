@@ -282,3 +282,16 @@ def test_stream_goes_on_over_batches(spark, ops, events, tmp_path):
     assert got.select("batch").distinct().count() > 2
     key = ["world", "generation", "seq"]
     assert got.select(*events.columns).orderBy(*key).collect() == events.orderBy(*key).collect()
+
+
+def test_bodies_without_the_chain(spark, ops, events, small):
+    """The same bodies as the chain's, and texts that nothing appends to are hashed before rows are dealt out."""
+    names = ["world", "generation", "seq", "event_type", "body_sha256", "size"]
+    more = ops.unionByName(ops.where("world = 'home/a' and verb <> 'append'").withColumn("world", F.lit("home/c")))
+    for log in (ops, more):
+        want = chain.build(log).where("event_type <> 'format'").select(*names).orderBy("world", "generation", "seq").collect()
+        assert chain.bodies(log).orderBy("world", "generation", "seq").collect() == want
+    plan = retention.stored(chain.bodies(oplog.documents_ops(spark, small)))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    above = plan[: plan.rindex(windows[-1])]
+    assert windows and "text#" not in above
