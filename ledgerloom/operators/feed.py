@@ -88,6 +88,14 @@ def ring(feed: DataFrame, most: int = RING) -> DataFrame:
     return feed.crossJoin(F.broadcast(top)).where(F.col("delivery_id") > F.col("top") - most).drop("top")
 
 
+def ring_of(feed: DataFrame, most: int = RING) -> DataFrame:
+    """ring(delivered(feed), most) without numbers for all the rest: the bounded top of the order, and one count."""
+    last = [F.desc("op_id"), F.desc("part"), F.desc("seq")]
+    top = feed.orderBy(*last).limit(most).withColumn("back", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*last)))
+    n = feed.agg(F.count("*").alias("n"))
+    return top.crossJoin(F.broadcast(n)).withColumn("delivery_id", F.col("n") - F.col("back") + 1).drop("n", "back")
+
+
 def resume(requests: DataFrame, live: DataFrame, events: DataFrame, most: int = RING) -> DataFrame:
     """requests (exact: a world, cursor) with outcome and replayed (number of changes); for wildcards see resume_ring.
 

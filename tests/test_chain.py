@@ -295,3 +295,29 @@ def test_bodies_without_the_chain(spark, ops, events, small):
     windows = [line for line in plan.splitlines() if "Window" in line]
     above = plan[: plan.rindex(windows[-1])]
     assert windows and "text#" not in above
+
+
+def test_chain_does_not_depend_on_batches(spark, ops, events):
+    """Format rows and headers stand where they belong, wherever a batch of the pass ends."""
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 2, 3):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            got = chain.build(ops).orderBy("world", "generation", "seq").collect()
+            assert got == events.orderBy("world", "generation", "seq").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    first, second = got[0], got[1]
+    assert [tuple(h) for h in first.headers] == [("format-version", "2")] and first.content_type == "" and first.target == first.world
+    assert [tuple(h) for h in second.headers] == [("x-n", "1")] and second.prev_hmac == first.hmac
+    assert "MapInArrow" in chain.build(ops)._jdf.queryExecution().toString()
+
+
+def test_ring_without_numbering_all(ops, events):
+    changes = feed.changes(events, ledger.build(ops, events)).cache()
+    numbered = feed.delivered(changes)
+    for most in (1, 4, 1000):
+        want = feed.ring(numbered, most).orderBy("delivery_id").collect()
+        got = feed.ring_of(changes, most)
+        assert got.select(*numbered.columns).orderBy("delivery_id").collect() == want and len(want) == min(most, changes.count())
+    assert feed.ring_of(changes.limit(0), 5).count() == 0
