@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..session import partitions, stash
+from .ledger import ledger_generation
+from .state import generation, numbered
 
 RING = 1024
 #: Event kinds, their verbs and HTTP names.
@@ -66,6 +68,49 @@ def delivered(feed: DataFrame) -> DataFrame:
     return f.join(F.broadcast(base), "range").withColumn("delivery_id", F.col("base") + F.col("at")).drop("range", "at", "base")
 
 
+def positions(ops: DataFrame) -> DataFrame:
+    """delivery_id, op_id, part, world, verb, generation, seq and cursor of delivered(changes(events, ledger)), from the ops
+    alone: none of these depends on a body, a digest or an HMAC, so no chain is built for them.
+
+    Ops, not changes, are dealt out: an op's changes follow each other, so their numbers and those of the ledger's rows are
+    running sums of how many changes and deletes the ops before it have. op_ids are unique.
+    """
+    n = partitions(ops.sparkSession)
+    rows = numbered(ops.select("op_id", "world", "verb").repartition(n, "world")).where("accepted")
+    # the delete is the last op of its life, so it moves no body event's seq
+    nth = F.row_number().over(Window.partitionBy("world", "g").orderBy("op_id")) + 1
+    rows = stash(rows.select("op_id", "world", "g", "verb", nth.cast("long").alias("seq")), "accepted")
+    gone = F.col("verb") == "delete"
+    counts = {"n": F.when(gone, 3).when(F.col("seq") == 2, 2).otherwise(1), "d": gone.cast("long")}
+    ranged = rows.repartitionByRange(n, "op_id").withColumn("range", F.spark_partition_id())
+    before = Window.partitionBy("range").orderBy("op_id").rowsBetween(Window.unboundedPreceding, 0)
+    ranged = stash(ranged.withColumns({f"{c}_to": F.sum(v).over(before) for c, v in counts.items()}), "positions")
+    sums = ranged.groupBy("range").agg(F.max("n_to").alias("n"), F.max("d_to").alias("d"))  # a row a range
+    order = Window.partitionBy(F.lit(0)).orderBy("range")
+    base = sums.select("range", *[(F.sum(c).over(order) - F.col(c)).alias(f"{c}_base") for c in counts])
+    out = ranged.join(F.broadcast(base), "range")
+    deletes = F.col("d_base") + F.col("d_to") - counts["d"]
+    # the first delete also brings the ledger's format row
+    passed = F.col("n_base") + F.col("n_to") - counts["n"] + F.when(deletes > 0, 1).otherwise(0)
+    out = out.withColumns({"deletes": deletes, "passed": passed})
+    change = lambda part, world, verb, seq, g: F.struct(F.lit(part).alias("part"), world.alias("world"), verb.alias("verb"), seq.cast("long").alias("seq"), g.cast("long").alias("g"))
+    of, form, k = F.col("g"), F.lit("format"), 2 * F.col("deletes")
+    book = lambda part, verb, seq: change(part, F.lit(paths.LEDGER), F.lit(verb), seq, F.lit(None))
+    three = [book(1, "delete", k + 2), change(2, F.col("world"), F.lit("delete"), F.lit(None), of), book(3, "delete", k + 3)]
+    own = change(1, F.col("world"), F.col("verb"), F.col("seq"), of)
+    each = (
+        F.when(gone & (F.col("deletes") == 0), F.array(book(0, "format", F.lit(1)), *three))
+        .when(gone, F.array(*three))
+        .when(F.col("seq") == 2, F.array(change(0, F.col("world"), form, F.lit(1), of), own))
+        .otherwise(F.array(own))
+    )
+    out = out.select("op_id", "passed", F.posexplode(each).alias("at", "c"))
+    out = out.select((F.col("passed") + F.col("at") + 1).alias("delivery_id"), "op_id", "c.*")
+    life = F.when(F.col("seq").isNull(), None).when(F.col("g").isNull(), ledger_generation()).otherwise(generation(F.col("world"), F.col("g")))
+    out = out.withColumn("generation", life).drop("g")
+    return out.withColumn("cursor", paths.cursor(F.col("world"), F.col("generation"), F.col("seq")))
+
+
 def normalise(pattern: str) -> str:
     if pattern in ("", "/", "*", "/*"):
         return "*"

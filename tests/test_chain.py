@@ -330,3 +330,24 @@ def test_tasks_of_chains_are_not_merged(spark, ops):
     for rows in (chain.build(log), ledger.accepted_deletes(log)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_positions_without_the_chain(spark, ops, events, small):
+    """The feed's numbers and cursors follow from the ops: the same as with chain and ledger, without Python or a body."""
+    names = ["delivery_id", "op_id", "part", "world", "verb", "generation", "seq", "cursor"]
+    log = oplog.events_ops(spark, small)
+    none = ops.where("verb <> 'delete'")
+    for each, made in ((ops, events), (none, chain.build(none)), (log, chain.build(log).cache())):
+        want = feed.delivered(feed.changes(made, ledger.build(each, made))).select(*names).orderBy("delivery_id").collect()
+        assert feed.positions(each).select(*names).orderBy("delivery_id").collect() == want and len(want) > 5
+    assert feed.positions(ops.where("false")).count() == 0
+
+
+def test_wildcards_resume_without_the_chain(spark, small, monkeypatch):
+    from ledgerloom.plans import queries
+
+    def never(*_, **__):
+        raise AssertionError("a chain was built")
+
+    monkeypatch.setattr(chain, "build", never)
+    assert queries.resume_wildcard(spark, small).count() > 0 and queries.ring_window(spark, small).count() == queries.RING
